@@ -8,6 +8,7 @@ from cartulary.llm.rows import documents
 
 _MODULES = {
     "op1_secret_scan": "secret_scan",
+    "op6_piece_codec": "piece_codec",
 }
 
 

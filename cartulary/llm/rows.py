@@ -70,3 +70,51 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
 
 def utf8(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS["up"]) < n:
+        size = 1 << int(n - 1).bit_length()
+        for name, x in (("up", _BASE), ("down", np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+            table = np.full(size, x, np.uint64)
+            table[0] = 1
+            _POWERS[name] = np.cumprod(table)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(32))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, from prefix sums of a polynomial; equal spans have equal hashes anywhere."""
+    up, down = _powers(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values, none of them across a bound in ``at``."""
+    bounds = np.zeros(len(inside) + 1, bool)
+    bounds[at] = True
+    before = np.concatenate(([False], inside[:-1]))
+    after = np.concatenate((inside[1:], [False]))
+    starts = np.flatnonzero(inside & (~before | bounds[:-1]))
+    return starts, np.flatnonzero(inside & (~after | bounds[1:])) + 1
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over consecutive ranges, empty ones included."""
+    total = np.concatenate((np.zeros(1, np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
+    return total[at[1:]] - total[at[:-1]]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartulary.llm.rows import append_columns, bounded_sample, text_view
+from cartulary.llm.rows import append_columns, bounded_sample, runs, text_view
 
 # The base rules, in the order in which their kinds sort.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -129,13 +129,7 @@ def candidates(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     maybe = np.zeros(n, bool)
     if not len(data):
         return maybe
-    inside = _IN_RUN[data]
-    bounds = np.zeros(len(data) + 1, bool)
-    bounds[at] = True
-    before = np.concatenate(([False], inside[:-1]))
-    starts = np.flatnonzero(inside & (~before | bounds[:-1]))
-    after = np.concatenate((inside[1:], [False]))
-    ends = np.flatnonzero(inside & (~after | bounds[1:])) + 1
+    starts, ends = runs(_IN_RUN[data], at)
     long = starts[ends - starts >= LEAST_RUN]
     maybe[np.searchsorted(at, long, "right") - 1] = True
     lower = data.tobytes().lower()
