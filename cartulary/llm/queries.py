@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
-
+from cartulary.llm import language_id, piece_codec, quality, secret_scan, toxicity
 from cartulary.llm.rows import documents
 
-_MODULES = {
-    "op1_secret_scan": "secret_scan",
-    "op6_piece_codec": "piece_codec",
+QUERIES = {
+    "op1_secret_scan": lambda spark, sf_dir: secret_scan.op1(documents(spark, sf_dir)),
+    "op6_piece_codec": lambda spark, sf_dir: piece_codec.op6(documents(spark, sf_dir)),
+    "op7_language_id": lambda spark, sf_dir: language_id.op7(documents(spark, sf_dir)),
+    "op8_toxicity": toxicity.query,
+    "op10_quality": quality.query,
 }
-
-
-def _query(name: str, module: str):
-    op = getattr(importlib.import_module(f"cartulary.llm.{module}"), name.split("_")[0])
-    table = (lambda s, d: s.read.parquet(f"{d}/embeddings.parquet")) if name.startswith("op4_") else documents
-    return lambda spark, sf_dir: op(table(spark, sf_dir))
-
-
-QUERIES = {name: _query(name, module) for name, module in _MODULES.items()}
 ORACLE: dict[str, str] = {}
