@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartulary.llm import language_id, mixing, piece_codec, quality, secret_scan, toxicity
+from cartulary.llm import language_id, minhash, mixing, piece_codec, quality, secret_scan, toxicity
 from cartulary.llm.rows import documents
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_piece_codec": lambda spark, sf_dir: piece_codec.op6(documents(spark, sf_dir)),
     "op7_language_id": lambda spark, sf_dir: language_id.op7(documents(spark, sf_dir)),
     "op8_toxicity": toxicity.query,
+    "op9_minhash": lambda spark, sf_dir: minhash.op9(documents(spark, sf_dir)),
     "op10_quality": quality.query,
 }
 ORACLE: dict[str, str] = {}
