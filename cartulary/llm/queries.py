@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cartulary.llm import language_id, minhash, mixing, piece_codec, quality, secret_scan, toxicity
+from cartulary.llm import fingerprints, language_id, minhash, mixing, piece_codec, quality, secret_scan, toxicity
 from cartulary.llm.rows import documents
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secret_scan.op1(documents(spark, sf_dir)),
+    "op3_fingerprints": lambda spark, sf_dir: fingerprints.op3(documents(spark, sf_dir)),
     "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
     "op6_piece_codec": lambda spark, sf_dir: piece_codec.op6(documents(spark, sf_dir)),
     "op7_language_id": lambda spark, sf_dir: language_id.op7(documents(spark, sf_dir)),
