@@ -4,7 +4,7 @@ Prefix arrays of a polynomial in the code points, modulo a Mersenne prime and fo
 constant time. Equal hashes stand for equal spans, and longest common extensions follow by binary search on their length.
 
 A text's fingerprint is its length, the hash of the whole, and the smallest hashes of its spans of 16 code points (of 4
-for short texts) in order. Equal texts have equal fingerprints. The likeness of two fingerprints is 1 if they are equal,
+or 1 for short texts) in order. Equal texts have equal fingerprints. The likeness of two fingerprints is 1 if they are equal,
 else the share of common spans, 2 J / (1 + J) for the Jaccard similarity J estimated from the smallest hashes; further
 copies of a span in a text count as spans of their own.
 
@@ -29,7 +29,10 @@ from cartulary.llm.rows import mix, slices
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003_999 % PRIME, 48_271)
-KEPT, LONG, SHORT = 64, 16, 4
+KEPT = 64
+#: (size of the spans, sizes of the texts from and below which they are used): neighbours overlap, so that a text can be
+#: compared with one of nearly its size.
+SCALES = ((16, 64, 1 << 62), (4, 16, 128), (1, 1, 32))
 ROWS_A_RANGE, MOST_RANGES = 2000, 10_000
 _TABLES: dict[int, np.ndarray] = {}
 
@@ -78,21 +81,16 @@ class SpanIndex:
         return low
 
 
-def sketches(index: SpanIndex, at: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(size, hash, smallest hashes of long spans, of short spans) of consecutive texts."""
-    sizes = np.diff(at)
+def sketches(index: SpanIndex, at: np.ndarray) -> list[tuple]:
+    """(size, hash, smallest span hashes of each scale) of consecutive texts."""
     whole = index.hash(at[:-1], at[1:])
-    spans = np.arange(max(0, index.n - LONG + 1))
-    long = mix(index.hash(spans, spans + LONG).astype(np.uint64))
     out = []
-    for a, n, h in zip(at.tolist(), sizes.tolist(), whole.tolist()):
-        first = second = np.empty(0, np.uint32)
-        if n >= 4 * LONG:
-            first = _smallest(long[a : a + n - LONG + 1])
-        if SHORT <= n < 8 * LONG:
-            k = np.arange(a, a + n - SHORT + 1)
-            second = _smallest(mix(index.hash(k, k + SHORT).astype(np.uint64)))
-        out.append((n, h, first, second))
+    for a, n, h in zip(at.tolist(), np.diff(at).tolist(), whole.tolist()):
+        spans = []
+        for size, least, most in SCALES:
+            k = np.arange(a, a + n - size + 1) if least <= n < most else np.empty(0, np.int64)
+            spans.append(_smallest(mix(index.hash(k, k + size).astype(np.uint64))))
+        out.append((n, h, *spans))
     return out
 
 
@@ -113,7 +111,7 @@ def likeness(a, b) -> float:
     """From 0 to 1; 1 only for equal fingerprints or sets of spans."""
     if a[:2] == b[:2]:
         return 1.0
-    for k in (2, 3):
+    for k in range(2, 2 + len(SCALES)):
         if len(a[k]) and len(b[k]):
             x, y = set(a[k].tolist()), set(b[k].tolist())
             least = sorted(x | y)[:KEPT]

@@ -27,7 +27,7 @@ from cartulary.llm.rows import append_columns
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words kept by a worker with their ids; longer words than LONG are not kept.
-CACHED, LONG = 300_000, 64
+CACHED, LONG = 600_000, 64
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -47,6 +47,11 @@ class Vocabulary:
         self.ids = {self.pieces[i]: i for i in sorted(self.ordinary)}
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {b: i for i, b in self.byte_of.items()}
+        self.reach: dict[str, int] = {}  # size of the longest piece by its last two characters
+        for piece in self.ids:
+            if len(piece) > 1:
+                self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 0))
+        self.key = hash((self.is_bpe, *self.pieces, *self.scores))
         self.least = min((self.scores[i] for i in self.ordinary), default=0.0)
 
 
@@ -89,53 +94,55 @@ class PrefixViterbi:
         return known
 
     def _follows(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 4 * CACHED:
+        if (known := self.pairs.get((left, right))) is None:
+            if len(self.pairs) > CACHED:
                 self.pairs.clear()
-            known = self.pairs[key] = merged(self.v, left + right) == [left, right]
+            known = self.pairs[left, right] = self._stands(right) and merged(self.v, left + right) == [left, right]
         return known
 
-    def _bpe_state(self, word: str, i: int, states: list) -> tuple[float, int]:
-        """(0, length of the last piece) of the encoding of word[:i]."""
-        ids = self.v.ids
-        for size in range(min(i, self.v.longest), 0, -1):
+    def _bpe_piece(self, word: str, i: int, last: list[str]) -> str:
+        """Last piece of the encoding of word[:i]; if no longer one passes, it is the last character."""
+        for size in range(min(i, self.v.reach.get(word[i - 2 : i], 0)) if i > 1 else 0, 1, -1):
             piece = word[i - size : i]
-            if size > 1 and (piece not in ids or not self._stands(piece)):
-                continue
-            j = i - size
-            if j == 0 or self._follows(word[j - states[j][1] : j], piece):
-                return 0.0, size
-        raise AssertionError("no piece ends here")
-
-    def _unigram_state(self, word: str, i: int, states: list) -> tuple[float, int]:
-        """(best score, length of the last piece) of word[:i]; an unknown character costs 10 more than any piece."""
-        best = None
+            if piece in self.v.ids and (self._stands(piece) if size == i else self._follows(last[i - size], piece)):
+                return piece
+        return word[i - 1]
+
+    def _unigram_piece(self, word: str, i: int, last: list[str]) -> str:
+        """Last piece of the best encoding of word[:i]; an unknown character costs 10 more than any piece."""
+        best, chosen = None, ""
         for size in range(1, min(i, self.v.longest) + 1):
-            k = self.v.ids.get(word[i - size : i])
-            score = self.v.scores[k] if k is not None else self.v.least - 10 if size == 1 else None
-            if score is not None and (best is None or states[i - size][0] + score > best[0]):
-                best = (states[i - size][0] + score, size)
-        return best
+            piece = word[i - size : i]
+            k = self.v.ids.get(piece)
+            if k is None and size > 1:
+                continue
+            score = self.scores[i - size] + (self.v.least - 10 if k is None else self.v.scores[k])
+            if best is None or score > best:
+                best, chosen = score, piece
+        self.scores[i:] = [best]
+        return chosen
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each of the words, which must be sorted."""
-        step = self._bpe_state if self.v.is_bpe else self._unigram_state
-        states, last, out = [(0.0, 0)], "", []
+        step = self._bpe_piece if self.v.is_bpe else self._unigram_piece
+        last, before, out, ids = [""], "", [], self.v.ids
+        self.scores = [0.0]
         for word in words:
-            shared, most = 0, min(len(word), len(last))
-            while shared < most and word[shared] == last[shared]:
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del last[shared + 1 :]
+            del self.scores[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                states.append(step(word, i, states))
+                last.append(step(word, i, last))
             pieces, i = [], len(word)
             while i:
-                size = states[i][1]
-                pieces.append(word[i - size : i])
-                i -= size
-            out.append([k for piece in reversed(pieces) for k in self._ids(piece)])
-            last = word
+                pieces.append(last[i])
+                i -= len(last[i])
+            pieces.reverse()
+            found = [ids.get(x) for x in pieces]
+            out.append([k for x in pieces for k in self._ids(x)] if None in found else found)
+            before = word
         return out
 
     def _ids(self, piece: str) -> list[int]:
@@ -198,6 +205,17 @@ class Codec:
         return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cut, cut[1:])]
 
 
+_CODECS: dict[int, Codec] = {}
+
+
+def _codec(vocabulary: Vocabulary) -> Codec:
+    """The codec of this worker, which keeps its words from one task to the next."""
+    if vocabulary.key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[vocabulary.key] = Codec(vocabulary)
+    return _CODECS[vocabulary.key]
+
+
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)),
@@ -210,7 +228,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def make():
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
 
         def work(part: pa.RecordBatch) -> list[pa.Array]:
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
@@ -230,7 +248,7 @@ def decode(rows: DataFrame, ids: str = "token_ids", into: str = "decoded", model
     schema = T.StructType([*kept.schema, T.StructField(into, T.StringType())])
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             some = [x or [] for x in column.to_pylist()]
