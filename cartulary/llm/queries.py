@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cartulary.llm import embedding_dedup, fingerprints, language_id, minhash, mixing, piece_codec, quality, secret_scan, toxicity
+from cartulary.llm import embedding_dedup, fingerprints, language_id, minhash, mixing, piece_codec, quality, secret_scan, suffix_dedup, toxicity
 from cartulary.llm.rows import documents
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secret_scan.op1(documents(spark, sf_dir)),
+    "op2_suffix_dedup": lambda spark, sf_dir: suffix_dedup.op2(documents(spark, sf_dir)),
     "op3_fingerprints": lambda spark, sf_dir: fingerprints.op3(documents(spark, sf_dir)),
     "op4_embedding_dedup": lambda spark, sf_dir: embedding_dedup.op4(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
