@@ -1,11 +1,63 @@
-"""A corpus pipeline of operators of ``cartulary.llm``."""
+"""A corpus pipeline: quality, near duplicates, secrets, mixing and encoding, each by an operator of ``cartulary.llm``.
 
-STAGES = []
+Each stage takes all that the one before it kept, as written and read again, and returns the columns of documents; the
+last returns tokens. Texts that are null or empty are rows as all others; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartulary.llm import minhash, mixing, piece_codec, quality, secret_scan
+from cartulary.llm.graph import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality classifier scores at 0.3 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.train(docs, labels)).where("score >= 0.3").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates: five words, similarity of 0.8."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each secret in the texts; every document stays."""
+    clean = secret_scan.redact(docs, secret_scan.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies of documents that the mix takes, shuffled in output shards; a document may come up to three times."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each copy."""
+    return piece_codec.encode(docs).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
+#: The classifier and the models of secrets are trained, which SQL can't express; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs
