@@ -1 +1 @@
-
+"""Scalar functions: native column expressions, and Arrow functions where no expression exists."""

@@ -1 +1 @@
-
+"""Relational and domain operators over DataFrames."""
