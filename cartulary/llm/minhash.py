@@ -8,8 +8,9 @@ full under its first common coordinate and skipped under the others. Links are c
 
 Documents with equal sets are one class throughout. In each posting list every member is first tried against the list's
 smallest id, which gives as many pairs as postings and joins groups of copies, however large; then only pairs of
-different components are left to look at. These are compared in tiles of bounded size, as arrays, and only pairs that
-pass leave a tile. Components of all links follow.
+different components are left to look at. These are compared in tiles of bounded size, as arrays: a
+first round finds the documents with candidates, a second confirms them on their full sets within the tile, and only a
+spanning forest of the links leaves it. Components of all links follow.
 
 Null and empty texts, and null ids, link with nothing: their component is their own id and they are kept. Repeated ids
 are one node. Only the columns for id and text are read.
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm import tiles
 from cartulary.llm.graph import components, stored
 from cartulary.llm.rows import mix, runs, slices, span_hashes, text_view
 
-COORDINATES, MATCHES = 48, 24
+COORDINATES, MATCHES = 32, 14
 PREFIX = COORDINATES - MATCHES + 1
-TILE = 1024
+FILTER_BITS = 1 << 24
 _RNG = np.random.default_rng(23)
 _SCALE = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -97,17 +99,43 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Three places of each id in a filter of FILTER_BITS bits."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([(h >> np.uint64(k)) & np.uint64(FILTER_BITS - 1) for k in (0, 13, 38)]).astype(np.int64)
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of one column of ids. Its size is fixed, so it can be sent everywhere at any scale."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bits(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    merged = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ids.coalesce(4).mapInArrow(run, "bits binary").collect():
+        merged |= np.frombuffer(row.bits, np.uint8)
+    return merged
+
+
 def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, ids: DataFrame) -> DataFrame:
-    """(id, n, sorted distinct shingle hashes) of the documents with these ids."""
+    """(id, sorted distinct shingle hashes) of the documents with these ids, and of a few others that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids.distinct()))
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy()
+            at = _bits(ids)
+            batch = batch.filter(pa.array(((bits[at >> 3] >> (7 - (at & 7))) & 1).all(0)))
             for part in slices(batch, "text"):
                 hashes, at = shingle_sets(part.column(1), n)
                 sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["id", "shingles"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
@@ -119,50 +147,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _tile_pairs(batches, percent: int):
-    """Pairs of different components that match in enough coordinates, from rows sorted by tile; streams tile by tile."""
-
-    def pairs(rows):
-        side, ids, comps, sizes = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3, 4))
-        coordinate = rows[0][6][0]
-        signed = np.concatenate([r[5] for r in rows])
-        left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        out = [np.empty(0, np.int64), np.empty(0, np.int64)]
-        if len(np.unique(comps)) < 2:
-            return out
-        for start in range(0, len(left), 128):
-            some = left[start : start + 128]
-            fit = comps[some][:, None] != comps[right]
-            fit &= 100 * np.minimum(sizes[some][:, None], sizes[right]) >= percent * np.maximum(sizes[some][:, None], sizes[right])
-            i, j = np.nonzero(fit & ((side[some][:, None] != 0) | (ids[some][:, None] < ids[right])))
-            i, j = some[i], right[j]
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                same = signed[p] == signed[q]
-                first = ~same[:, :coordinate].any(1) if coordinate else np.ones(len(p), bool)
-                good = first & (same.sum(1) >= MATCHES)
-                out = [np.concatenate((out[0], ids[p[good]])), np.concatenate((out[1], ids[q[good]]))]
-        return out
-
-    def emit(rows):
-        a, b = pairs(rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    held, tile = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-        columns = [None, *(batch.column(k).to_numpy() for k in (3, 4, 5, 6)), np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, COORDINATES), batch.column(8).to_numpy()]
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and tile != tuple(keys[a]):
-                yield emit(held)
-                held = []
-            tile = tuple(keys[a])
-            held.append([None, *(c[a:b] for c in columns[1:])])
-    if held:
-        yield emit(held)
+def _candidates(percent: int):
+    """The rows of a tile that may link: alike, in size and coordinates, to one of another component.
+
+    A pair is counted under its first common coordinate only.
+    """
+
+    def find(table: pa.Table) -> np.ndarray:
+        side, comps, sizes = (table.column(c).to_numpy() for c in ("side", "component", "n"))
+        left, right, some = np.flatnonzero(side != 2), np.flatnonzero(side != 1), np.zeros(len(side), bool)
+        if len(np.unique(comps)) > 1:
+            signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            before = int(table.column("c")[0].as_py())
+            for at in range(0, len(left), 128):
+                part = left[at : at + 128][:, None]
+                i, j = np.nonzero((comps[part] != comps[right]) & (100 * np.minimum(sizes[part], sizes[right]) >= percent * np.maximum(sizes[part], sizes[right])))
+                i, j = left[at + i], right[j]
+                for k in range(0, len(i), 1 << 16):
+                    p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    same = signed[p] == signed[q]
+                    good = (same.sum(1) >= MATCHES) & ~same[:, :before].any(1)
+                    some[p[good]] = some[q[good]] = True
+        return some
+
+    def run(batches):
+        for table in tiles.groups(batches):
+            yield from table.filter(pa.array(find(table))).to_batches()
+
+    return run
+
+
+def _linked(percent: int):
+    """Links of a tile's rows, confirmed on their full sets: the edges of a spanning forest, which joins what links join."""
+
+    def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        rows, several = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), count[inverse] > 1
+        rows, columns = rows[several], place[inverse[several]]
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        total = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):
+            a, b = np.searchsorted(columns, [at, at + 2048])
+            part = np.zeros((len(sets), 2048), np.float32)
+            part[rows[a:b], columns[a:b] - at] = 1
+            total += part[left] @ part[right].T
+        return total
+
+    def forest(near: np.ndarray) -> list[tuple[int, int]]:
+        edges, new = [], np.ones(len(near), bool)
+        for start in range(len(near)):
+            if not new[start]:
+                continue
+            new[start], front = False, np.array([start])
+            while len(front):
+                reached = np.flatnonzero(near[front].any(0) & new)
+                edges += zip(front[near[np.ix_(front, reached)].argmax(0)].tolist(), reached.tolist())
+                new[reached], front = False, reached
+        return edges
+
+    def run(batches):
+        for table in tiles.groups(batches):
+            side, ids, comps = (table.column(c).to_numpy() for c in ("side", "id", "component"))
+            left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            sets = [np.asarray(x, np.int64) for x in table.column("shingles").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            both = common(sets, left, right)
+            good = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (comps[left][:, None] != comps[right])
+            near = np.zeros((len(sets), len(sets)), bool)
+            near[np.ix_(left, right)] = good
+            edges = forest(near | near.T)
+            a, b = (np.array([ids[e[k]] for e in edges], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
 
 
 def links(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,25 +236,22 @@ def links(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tupl
     lists = posted.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     posted = stored(posted.join(lists, "key"))
 
-    sets = stored(full_sets(docs, doc_id, text, n, posted.select("id").distinct()).dropDuplicates(["id"]))
-    sized = classes.select(F.col("id").alias("pivot"), F.col("n").alias("m"))
-    tried = posted.where("id > pivot").select("pivot", "id", "n").distinct().join(sized, "pivot")
-    tried = tried.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    found = stored(confirmed(tried, sets, percent))
+    one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
+    tried = posted.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(two, "b")
+    tried = tried.join(one, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    matches = sum((F.substring("s_a", 4 * c + 1, 4) == F.substring("s_b", 4 * c + 1, 4)).cast("int") for c in range(COORDINATES))
+    tried = stored(tried.where(matches >= MATCHES).select("a", "b"))
+    found = stored(confirmed(tried, full_sets(docs, doc_id, text, n, tried.select(F.col("a").alias("id")).union(tried.select("b"))), percent))
     grouped = components(found, "a", "b")
 
     posted = posted.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    tiled = posted.join(mixed.select("key", "size"), "key").join(classes.select("id", "signature"), "id")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    # a tile holds two parts of a list, or one part against itself; side: 0 for the latter, else 1 and 2
-    every = F.transform(F.sequence(F.lit(0), tiles - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), F.when(k == own, 0).when(own < k, 1).otherwise(2).alias("side")))
-    tiled = tiled.select("key", F.explode(every).alias("t"), "id", "component", "n", "signature", "c")
-    tiled = tiled.select("key", "t.i", "t.j", "t.side", "id", "component", "n", "signature", "c")
-    tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = tiled.mapInArrow(lambda batches: _tile_pairs(batches, percent), "a long, b long").distinct()
-    found = found.union(confirmed(more, sets, percent))
+    posted = posted.join(mixed.select("key", "size"), "key").join(classes.select("id", "signature"), "id")
+    dealt = tiles.tiled(posted.select("key", "size", "id", "component", "n", "signature", "c"), "key", "size", "id")
+    dealt = stored(dealt.mapInArrow(_candidates(percent), dealt.schema))
+    some = dealt.select("key", "i", "j", "side", "id", "component").join(full_sets(docs, doc_id, text, n, dealt.select("id")), "id")
+    some = some.select("key", "i", "j", "side", "id", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = stored(found.union(some.mapInArrow(_linked(percent), "a long, b long")).distinct())
     return signed, classes, components(found, "a", "b")
 
 
