@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _accents() -> tuple[str, str]:
@@ -28,7 +29,7 @@ def normalize_text(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text_exact(column: pd.Series) -> pd.Series:
     """``normalize_text`` with full compatibility decomposition."""
     return column.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower().split()))
@@ -51,7 +52,7 @@ def split_list(column: Column, separator: str = ";") -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings, to 6 decimals; null is empty. The order of the arguments matters."""
     pairs = zip(left.fillna(""), right.fillna(""))

@@ -1 +1 @@
-
+"""Pipelines of operators, and the registered queries."""

@@ -1 +1 @@
-
+"""Structured Streaming versions of what the batch operators keep."""
