@@ -32,8 +32,8 @@ def drift(current: DataFrame, previous: DataFrame, features: list[str]) -> DataF
     """Mean relative change of the features' means, and whether it calls for an alert: two aggregates, one row."""
     features = [f for f in features if f in current.columns and f in previous.columns]
     a = current.agg(*[F.avg(F.col(f).try_cast("double")).alias(f"c_{f}") for f in features], F.count(F.lit(1)).alias("n"))
-    b = previous.agg(*[F.avg(F.col(f).try_cast("double")).alias(f"p_{f}") for f in features])
-    parts = F.array(*[F.abs(F.col(f"c_{f}") - F.col(f"p_{f}")) / F.when(F.abs(f"p_{f}") > 1e-9, F.abs(f"p_{f}")).otherwise(1.0) for f in features])
+    b = previous.agg(*[F.avg(F.col(f).try_cast("double")).alias(f"p_{f}") for f in features], F.count(F.lit(1)).alias("m"))
+    parts = F.array(F.lit(None).cast("double"), *[F.abs(F.col(f"c_{f}") - F.col(f"p_{f}")) / F.when(F.abs(f"p_{f}") > 1e-9, F.abs(f"p_{f}")).otherwise(1.0) for f in features])
     known = F.filter(parts, lambda x: x.isNotNull())
     score = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known)).otherwise(0.0)
     return a.crossJoin(b).select(score.alias("drift_score"), (score >= DRIFT_ALERT).alias("drift_alert"))

@@ -251,11 +251,11 @@ def base_metrics(spark, sf_dir):
 
 @register(
     "WITH t AS (SELECT o_custkey, year(o_orderdate) AS y, month(o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY ALL)"
-    " SELECT o_custkey, round(avg(v), 2) AS media, round(stddev_samp(v), 1) AS desvio, count(v) AS observacoes FROM t GROUP BY 1"
+    " SELECT o_custkey, round(avg(v), 6) AS media, round(stddev_samp(v), 5) AS desvio, count(v) AS observacoes FROM t GROUP BY 1"
 )
 def trend_mean_std(spark, sf_dir):
     out = relational.trend(_orders(spark, sf_dir).withColumn("mes", F.month("o_orderdate")), "o_custkey", ["ano", "mes"], "o_totalprice")
-    return out.withColumns({"media": F.round("media", 2), "desvio": F.round("desvio", 1)})
+    return out.withColumns({"media": F.round("media", 6), "desvio": F.round("desvio", 5)})
 
 
 @register("SELECT p_partkey, (p_size - (SELECT min(p_size) FROM part)) / CAST((SELECT max(p_size) - min(p_size) FROM part) AS DOUBLE) AS size_norm, (p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part) AS price_norm, CAST(0.0 AS DOUBLE) AS constant_norm FROM part")

@@ -91,7 +91,11 @@ def read_json(spark: SparkSession, path: str) -> dict:
     fs, hadoop = _fs(spark, path)
     if not fs.exists(hadoop):
         return {}
-    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    stream = fs.open(hadoop)  # Spark's readers skip names that start with _
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def register_version(spark: SparkSession, catalog: str, metadata: dict) -> None:
