@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from cartulary.llm.rows import mix, span_hashes, text_view
 
 LEAST, SEED = 50, 16
+#: Strings in a stretch at most: the stretches of a text that repeats itself are mostly equal then.
+LONGEST = 64
 SPLIT = 1 << 20
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,7 +116,12 @@ def _stretches(data, at, row, offset):
     ends = np.append(starts[1:], n) + LEAST - 1
     kept = room[starts]
     starts, ends = starts[kept], ends[kept]
-    return least[starts], np.searchsorted(at, starts, "right") - 1 + row, starts + offset, ends + offset
+    pieces = -(-(ends - starts - LEAST + 1) // LONGEST)
+    step = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
+    starts = np.repeat(starts, pieces) + step
+    ends = np.minimum(np.repeat(ends, pieces), starts + LONGEST + LEAST - 1)
+    # minima are small: mixed once more, they spread over the buckets
+    return mix(least[starts]), np.searchsorted(at, starts, "right") - 1 + row, starts + offset, ends + offset
 
 
 class Unit:
@@ -183,12 +190,16 @@ def answer(key, table):
     return pa.concat_tables(parts)
 
 
-_RECORD = np.dtype([("hash", "<u8"), ("id", "<i8"), ("text", "<u4"), ("start", "<u4"), ("size", "<u4")])
+_RECORD = np.dtype([("hash", "<u8"), ("id", "<i8"), ("size", "<u4"), ("copies", "<u4")])
+_PLACE = np.dtype([("text", "<u4"), ("start", "<u4")])
 _SPAN = np.dtype([("text", "<u4"), ("start", "<u4"), ("size", "<u4")])
 
 
 def send(n_buckets: int):
-    """Pass 2 of a unit: stretches with shared hashes to their buckets; spans settled inside the unit as kind 1."""
+    """Pass 2 of a unit: stretches with shared hashes to their buckets; spans settled inside the unit as kind 1.
+
+    A content is sent once, for the smallest id that has it, with all its places in that document.
+    """
 
     def run(key, table, answers):
         number = key[0].as_py()
@@ -201,28 +212,44 @@ def send(n_buckets: int):
             inside[a:z] |= np.unpackbits(np.frombuffer(blob, np.uint8), count=z - a).astype(bool)
         shared = inside[np.searchsorted(distinct, hashes)] if len(distinct) else np.zeros(0, bool)
         hashes, text, start, end = hashes[shared], text[shared], start[shared], end[shared]
-        first = _first_ids(span_hashes(unit.data, start, end), unit.ids[text])
-        later = unit.ids[text] > first
+        content = span_hashes(unit.data, start, end)
+        later = unit.ids[text] > _first_ids(content, unit.ids[text])
         spans = np.empty(int(later.sum()), _SPAN)
         spans["text"], spans["start"], spans["size"] = text[later], (start - unit.at[text])[later], (end - start)[later]
-        hashes, text, start, end = hashes[~later], text[~later], start[~later], end[~later]
-        order = np.argsort(hashes, kind="stable")
-        records = np.empty(len(order), _RECORD)
-        records["hash"], records["id"], records["text"] = hashes[order], unit.ids[text][order], text[order]
-        records["start"], records["size"] = (start - unit.at[text])[order], (end - start)[order]
+        own = _message([number % n_buckets], number, 1, [spans.tobytes()]) if len(spans) else _message([], number, 1, [])
+
+        hashes, text, start, end, content = hashes[~later], text[~later], start[~later], end[~later], content[~later]
+        order = np.lexsort((content, hashes))
+        hashes, text, start, end, content = hashes[order], text[order], start[order], end[order], content[order]
+        places = np.empty(len(order), _PLACE)
+        places["text"], places["start"] = text, start - unit.at[text]
+        new = np.ones(len(order), bool)
+        new[1:] = (content[1:] != content[:-1]) | (hashes[1:] != hashes[:-1])
+        head = np.append(np.flatnonzero(new), len(order))
+        one = head[:-1]
+        records = np.empty(len(one), _RECORD)
+        records["hash"], records["id"], records["size"], records["copies"] = hashes[one], unit.ids[text[one]], (end - start)[one], np.diff(head)
         cuts = np.searchsorted(_bucket(records["hash"], n_buckets), np.arange(n_buckets + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        start, blobs = start[order], []
+        some, blobs = np.flatnonzero(np.diff(cuts)), []
         for b in some:
             part = records[cuts[b] : cuts[b + 1]]
-            body = [unit.data[s : s + k] for s, k in zip(start[cuts[b] : cuts[b + 1]].tolist(), part["size"].tolist())]
-            blobs.append(np.uint64(len(part)).tobytes() + part.tobytes() + np.concatenate(body).tobytes())
-        own = _message([number % n_buckets], number, 1, [spans.tobytes()]) if len(spans) else _message([], number, 1, [])
+            body = [unit.data[a:z] for a, z in zip(start[one[cuts[b] : cuts[b + 1]]].tolist(), end[one[cuts[b] : cuts[b + 1]]].tolist())]
+            body = pa.compress(np.concatenate(body).tobytes(), "zstd", asbytes=True)
+            blobs.append(np.uint64(len(part)).tobytes() + part.tobytes() + places[head[cuts[b]] : head[cuts[b + 1]]].tobytes() + body)
         return pa.concat_tables([own, _message(some.tolist(), number, 0, blobs)])
 
     return run
 
 
+def _received(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(records, places, bytes) of a message of pass 2."""
+    records = np.frombuffer(blob, _RECORD, int(np.frombuffer(blob, "<u8", 1)[0]), 8)
+    at = 8 + records.nbytes
+    places = np.frombuffer(blob, _PLACE, int(records["copies"].sum()), at)
+    body = pa.decompress(blob[at + places.nbytes :], int(records["size"].sum(dtype=np.int64)), "zstd", asbytes=True)
+    return records, places, np.frombuffer(body, np.uint8)
+
+
 def _first_ids(content: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id with an equal content."""
     if not len(content):
@@ -237,14 +264,12 @@ def settle(key, table):
     """A bucket's answer to pass 2: spans that are later copies, for each unit."""
     kinds, units = table.column("kind").to_numpy(), table.column("unit").to_numpy()
     out = [table.filter(pa.array(kinds == 1))]
-    blobs = [b for b, k in zip(table.column("blob").to_pylist(), kinds) if k == 0]
-    of_unit = units[kinds == 0]
-    sizes = [int(np.frombuffer(b, "<u8", 1)[0]) for b in blobs]
-    if not sizes:
+    parts = [_received(b) for b, k in zip(table.column("blob").to_pylist(), kinds) if k == 0]
+    if not parts:
         return out[0]
-    records = np.concatenate([np.frombuffer(b, _RECORD, n, 8) for b, n in zip(blobs, sizes)])
-    data = np.concatenate([np.frombuffer(b, np.uint8, -1, 8 + n * _RECORD.itemsize) for b, n in zip(blobs, sizes)])
-    unit = np.repeat(of_unit, sizes)
+    records, places, data = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    unit = np.repeat(units[kinds == 0], [len(p[0]) for p in parts])
+    del parts
     size = records["size"].astype(np.int64)
     start = np.cumsum(size) - size
     content = span_hashes(data, start, start + size)
@@ -259,10 +284,10 @@ def settle(key, table):
     order = np.lexsort((records["id"][left], hash_of))
     left, hash_of = left[order], hash_of[order]
     windows = size[left] - LEAST + 1
-    spans = [(unit[later], records["text"][later], records["start"][later], size[later])]
+    spans = [(np.flatnonzero(later), np.zeros(int(later.sum()), np.int64), size[later])]  # (record, from where in it, size)
     total, begin = np.cumsum(windows), 0
     while begin < len(left):  # whole hashes, of about a bounded number of suffixes at once
-        end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (SPLIT >> 2), "right"))
+        end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (SPLIT >> 3), "right"))
         end = int(np.searchsorted(hash_of, hash_of[min(end, len(left) - 1)], "right"))
         some, count = left[begin:end], windows[begin:end]
         owner = np.repeat(np.arange(len(some)), count)
@@ -273,15 +298,20 @@ def settle(key, table):
         head[1:] &= ~(copy[:-1] & (owner[1:] == owner[:-1]))
         tail[:-1] &= ~(copy[1:] & (owner[1:] == owner[:-1]))
         a, b = np.flatnonzero(head), np.flatnonzero(tail)
-        own = some[owner[a]]
-        spans.append((unit[own], records["text"][own], records["start"][own] + step[a], step[b] - step[a] + LEAST))
+        spans.append((some[owner[a]], step[a], step[b] - step[a] + LEAST))
         begin = end
-    unit, text, start, size = (np.concatenate([s[k] for s in spans]) for k in range(4))
+    record, offset, length = (np.concatenate([s[k] for s in spans]) for k in range(3))
+    copies = records["copies"].astype(np.int64)
+    first, many = (np.cumsum(copies) - copies)[record], copies[record]
+    which = np.repeat(np.arange(len(record)), many)
+    place = places[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + first[which]]
+    unit = unit[record[which]]
     order = np.argsort(unit, kind="stable")
     found = np.empty(len(order), _SPAN)
-    found["text"], found["start"], found["size"] = text[order], start[order], size[order]
+    found["text"], found["start"], found["size"] = place["text"][order], place["start"][order] + offset[which[order]], length[which[order]]
+    unit = unit[order]
     for u in np.unique(unit).tolist():
-        a, b = np.searchsorted(unit[order], [u, u + 1])
+        a, b = np.searchsorted(unit, [u, u + 1])
         out.append(_message([key[0].as_py()], u, 1, [found[a:b].tobytes()]))
     return pa.concat_tables(out)
 
@@ -323,7 +353,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fi
     """A row for each row of ``docs``: with ``finish=cut`` what was removed, with ``finish=keep`` (and its schema) the rest."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    unit_bytes = min(1 << 26, max(1 << 20, int(150 * math.sqrt(total))))
+    # units and buckets grow with the root of the corpus, so that the messages between them keep their size
+    unit_bytes = max(1 << 20, int(60 * math.sqrt(total)))
     units = max(1, math.ceil(total / unit_bytes))
     n_buckets = max(1, units // 2)
     unit = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(units))
