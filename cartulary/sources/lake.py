@@ -23,8 +23,12 @@ def _fs(spark: SparkSession, path: str):
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Parquet, CSV (header, every column a string: codes keep their zeros), JSON or JSON lines, by format or suffix."""
-    kind = kind or path.rsplit(".", 1)[-1].lower()
+    """Parquet, CSV (header, every column a string: codes keep their zeros), JSON or JSON lines.
+
+    By format or by suffix; a folder without one is Parquet.
+    """
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    kind = kind or (name.rsplit(".", 1)[-1].lower() if "." in name else "parquet")
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
