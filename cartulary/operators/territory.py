@@ -1,8 +1,8 @@
 """Matching free-text names to a dimension in tiers: code, name, alias, similarity, else manual review.
 
 The exact tiers are equi-joins with the dimension; only rows that they leave go on, as distinct names. The similarity
-tier never scores a name against the whole dimension blindly: a native bound on the ratio, from lengths, removes pairs
-that can neither be accepted nor be a runner-up within the gap, before the Arrow function sees them.
+tier scores these against the aliases; a native bound on the ratio, from lengths, can spare the Arrow function pairs that
+can neither be accepted nor be a runner-up within the gap.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cartulary.functions.text import normalize_text, similarity, similarity_bound
 
 THRESHOLD, GAP, CANDIDATES = 0.90, 0.03, 3
+#: Aliases that are broadcast at most; a larger dimension is dealt to the tasks instead.
+BROADCAST_ROWS = 100_000
 
 
 def alias_dimension(dim: DataFrame, entity: str, name: str, aliases: str) -> DataFrame:
@@ -29,14 +31,18 @@ def _lookup(rows: DataFrame, key: str, entity: str, tier: str) -> DataFrame:
     return found.select(F.col(key).alias(f"__key_{tier}"), F.when(F.col("__low") == F.col("__high"), F.col("__low")).alias(f"__id_{tier}"), (F.col("__low") != F.col("__high")).alias(f"__many_{tier}"))
 
 
-def fuzzy_candidates(names: DataFrame, aliases: DataFrame, entity: str, norm: str = "norm", best_only: bool = True) -> DataFrame:
+def fuzzy_candidates(names: DataFrame, aliases: DataFrame, entity: str, norm: str = "norm", best_only: bool = True, least_bound: float = 0.0) -> DataFrame:
     """(norm, rank, entity, alias_norm, score) of the best ``CANDIDATES`` of each name.
 
     Ranked by score and then alias; ``best_only`` takes the best alias of each entity, so that two aliases of one entity
-    don't compete.
+    don't compete. Pairs whose lengths hold the ratio below ``least_bound`` aren't scored; up to the threshold less the
+    gap this changes no match, only which candidates people see.
     """
-    pairs = names.select(norm).distinct().crossJoin(F.broadcast(aliases.select(entity, "alias_norm").distinct()))
-    pairs = pairs.where(similarity_bound(F.col(norm), F.col("alias_norm")) > 0)
+    others = aliases.select(entity, "alias_norm").distinct()
+    if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        others = F.broadcast(others)
+    pairs = names.select(norm).distinct().crossJoin(others)
+    pairs = pairs.where(similarity_bound(F.col(norm), F.col("alias_norm")) >= least_bound)
     scored = pairs.withColumn("score", similarity(F.col(norm), F.col("alias_norm")))
     order = [F.desc("score"), F.asc("alias_norm"), F.asc(entity)]
     if best_only:

@@ -77,7 +77,7 @@ def municipality_fact(base: DataFrame, dim: DataFrame, aliases: DataFrame, input
     matched = territory.match(rows, dim, aliases, ID, "codigo_tse", "municipio_norm", "municipio_norm_input", "codigo_input")
     matched = matched.withColumn("canonical_key", text.canonical_key(F.col(ID), F.col("ano"), F.col("mes"), F.col("turno")))
     fact = relational.best_row(matched.where(f"{ID} is not null"), ["canonical_key"], "indice_final", ["ranking_final", "municipio_input"])
-    fact = fact.join(F.broadcast(dim.select(ID, "codigo_tse", "codigo_ibge", "nome_municipio", "municipio_norm")), ID, "left")
+    fact = fact.join(dim.select(ID, "codigo_tse", "codigo_ibge", "nome_municipio", "municipio_norm"), ID, "left")
     return fact, territory.review_queue(matched)
 
 
@@ -107,7 +107,7 @@ def territory_rows(dim: DataFrame, sections: DataFrame | None, years: tuple[int,
         known = sections.where(f"{ID} is not null and zona >= 0")
         levels += [("zona", known, [ID, "zona"]), ("secao", known.where("secao >= 0"), [ID, "zona", "secao"])]
     rows = relational.backfilled(territory.territory_dimension(levels), {"parte_2": "string", "parte_3": "string"})
-    rows = rows.join(F.broadcast(place), F.col("parte_1") == F.col(ID), "left").drop(ID, "parte_1")
+    rows = rows.join(place, F.col("parte_1") == F.col(ID), "left").drop(ID, "parte_1")
     rows = rows.withColumnsRenamed({"parte_2": "zona_eleitoral", "parte_3": "secao_eleitoral"})
     return rows.withColumns({"vigencia_inicio": F.lit(f"{years[0]}-01-01"), "vigencia_fim": F.lit(f"{years[1]}-12-31")})
 

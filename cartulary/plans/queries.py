@@ -134,7 +134,7 @@ def fuzzy_match(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     dim = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("code"), text.normalize_text(F.col("p_name")).alias("norm_nome"))
     aliases = dim.select("id", F.col("norm_nome").alias("alias_norm"))
-    base = names.select("p_name", F.expr("left(norm, length(norm) - 1)").alias("norm_input")) if "norm" in names.columns else names.select("p_name", text.normalize_text(F.col("p_name")).alias("n")).select("p_name", F.expr("left(n, length(n) - 1)").alias("norm_input"))
+    base = names.select("p_name", text.normalize_text(F.col("p_name")).alias("n")).select("p_name", F.expr("left(n, length(n) - 1)").alias("norm_input"))
     return territory.match(base, dim, aliases, "id", "code", "norm_nome", "norm_input")
 
 
@@ -497,5 +497,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities of nations over the last three years, best first."""
     base, metrics = marts.electoral_base(_fact(spark, sf_dir), 3), _indicators(spark, sf_dir)
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias(marts.ID), "n_name")
-    rows = marts.territorial(base, metrics).join(F.broadcast(names), marts.ID, "left")
+    rows = marts.territorial(base, metrics).join(names, marts.ID, "left")
     return rows.orderBy(F.col("score_priorizacao_territorial_sp").desc(), marts.ID).limit(15)
