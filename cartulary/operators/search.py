@@ -4,24 +4,73 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TABLES = {"municipios", "alocacao", "secoes", "mapa_tatico", "mart_custo_mobilizacao"}
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+ITEMS, QUERIES = 1024, 4096  # rows of a block, about
+
+
+def _nearest_of(k: int, schema: T.StructType):
+    """The k nearest items of each query of one block each; sums run in the order of the vector, so equal vectors tie."""
+
+    def find(items: pa.Table, queries: pa.Table) -> pa.Table:
+        items = items.take(pc.sort_indices(items.column("item"), null_placement="at_start"))
+        out = []
+        for size in pc.unique(queries.column("size")).to_pylist() if items.num_rows else []:
+            here, asked = items.filter(pc.equal(items.column("size"), size)), queries.filter(pc.equal(queries.column("size"), size))
+            if not here.num_rows:
+                continue
+            x, q = (np.ascontiguousarray(t.column("vector").combine_chunks().flatten().to_numpy().reshape(t.num_rows, size).T) for t in (here, asked))
+            of, near, far = [], [], []
+            for at in range(0, asked.num_rows, 64):
+                some = q[:, at : at + 64]
+                d = np.zeros((some.shape[1], here.num_rows))
+                for a, b in zip(x, some):
+                    apart = a - b[:, None]
+                    apart *= apart
+                    d += apart
+                last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.nan)
+                for i, row in enumerate(d):
+                    best = np.flatnonzero(~(row > last[i]))  # in the order of items
+                    best = best[np.argsort(row[best], kind="stable")][:k]
+                    of.append(np.full(len(best), at + i))
+                    near.append(best)
+                    far.append(row[best])
+            out.append(pa.table([asked.column("query").take(pa.array(np.concatenate(of))), here.column("item").take(pa.array(np.concatenate(near))), pa.array(np.concatenate(far))], names=schema.names))
+        return pa.concat_tables(out) if out else to_arrow_schema(schema).empty_table()
+
+    return find
 
 
 def nearest(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, k: int = 5) -> DataFrame:
-    """(query, rank, item, distance) of the k nearest items of each of a bounded set of queries, ties by id.
+    """(query, rank, item, distance) of the k nearest items of each query, ties by id.
 
-    The queries are broadcast against the items; a first top-k inside each part of the items bounds what is shuffled.
+    Items and queries are dealt into blocks of bounded size by a hash of the row. Each block of queries meets each block
+    of items once, where the k best of each query are kept, and a top-k over the blocks' best follows. All distances are
+    computed, in double precision. Vectors that are null, hold a null or are of another length have no distance.
     """
-    asked = F.broadcast(queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q")))
-    scored = items.select(F.col(item_id).alias("item"), F.col(vector).alias("__v")).crossJoin(asked)
-    scored = scored.select("query", "item", squared_distance(F.col("__v"), F.col("__q")).alias("distance"))
+
+    def blocks(rows: DataFrame, name: str, key: str, most: int) -> tuple[DataFrame, int]:
+        rows = rows.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("vector"))
+        rows = rows.where(F.forall("vector", lambda x: x.isNotNull())).withColumn("size", F.size("vector"))
+        count = max(1, -(-rows.count() // most))
+        return rows.withColumn(f"{name}_block", F.pmod(F.xxhash64(name, "vector"), F.lit(count))), count
+
+    here, here_count = blocks(items, "item", item_id, ITEMS)
+    asked, asked_count = blocks(queries, "query", query_id, QUERIES)
+    schema = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("item", here.schema["item"].dataType), T.StructField("distance", T.DoubleType())])
+    here = here.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(asked_count - 1)).cast("array<long>")))
+    asked = asked.withColumn("item_block", F.explode(F.sequence(F.lit(0), F.lit(here_count - 1)).cast("array<long>")))
+    pair = ["item_block", "query_block"]
+    scored = here.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInArrow(_nearest_of(k, schema), schema)
     order = Window.partitionBy("query").orderBy("distance", "item")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -461,6 +461,16 @@ def knn_topk(spark, sf_dir):
     return search.nearest(rows, rows.where("vec_id < 5"), "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
+@register(
+    "WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q.query, vec_id AS item, list_sum(list_transform(list_zip(embedding, e), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS distance FROM embeddings, q)"
+    " SELECT query, item, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, item) AS INTEGER) AS rank FROM d QUALIFY rank <= 5"
+)
+def knn_hundredth(spark, sf_dir):
+    """Every row with an id divisible by 100 against every row; ``knn_topk`` asks the first five only."""
+    rows = table(spark, sf_dir, "embeddings")
+    return search.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 @register("SELECT 'mun-' || c_custkey AS id, 'Municipio: ' || c_name || '. Cluster: ' || c_mktsegment || '. Indice final: ' || printf('%.2f', c_acctbal) || '. Ranking: ' || c_custkey || '.' AS document FROM customer")
 def knn_documents_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("mun-"), "c_custkey").alias("id"), search.document_text(F.trim("c_name"), F.trim("c_mktsegment"), F.col("c_acctbal"), F.col("c_custkey")).alias("document"))

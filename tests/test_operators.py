@@ -153,3 +153,25 @@ def test_stores(tmp_path):
     assert cache.get("c") is None
     with pytest.raises(ValueError):
         stores.put_artifact(tmp_path / "s", tmp_path / "j.db", "../x")
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "ITEMS", 7)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    vectors = {f"v{k:02}": [float(k * k % 11), float(k % 3)] for k in range(40)} | {"null": None, "hole": [1.0, None], "long": [0.0, 0.0, 0.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "id string, embedding array<float>")
+    found = search.nearest(rows, rows.where("id like '%0' or id = 'long'"), "id", "id", "embedding", 4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    plane = {k: v for k, v in vectors.items() if k.startswith("v")}
+    want = {("long", 1, "long", 0.0)}
+    for q in (k for k in plane if k.endswith("0")):
+        best = sorted((sum((x - y) ** 2 for x, y in zip(v, plane[q])), k) for k, v in plane.items())[:4]
+        want |= {(q, n + 1, k, d) for n, (d, k) in enumerate(best)}
+    assert {(r.query, r.rank, r.item, r.distance) for r in found.collect()} == want
+
+
+def test_every_hundredth_vector_asks(spark):
+    from cartulary.plans.queries import QUERIES
+
+    asked = QUERIES["knn_hundredth"](spark, "/root/testdata/sf0.1")
+    assert asked.count() == 5 * spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 100 = 0").count() == 100
