@@ -102,6 +102,19 @@ def test_op1_markov_tells_random_strings_from_identifiers(spark):
     assert [k for _, k, _ in secret_scan.find_spans(SECRETS[7], model)] == [3]
 
 
+def test_op1_finds_random_strings_of_14_to_19_characters(spark):
+    model = secret_scan.train(documents(spark, SMALL))
+    rng = random.Random(3)
+    strings = ["".join(rng.choices(alphabet, k=rng.randint(14, 19))) for alphabet in ("0123456789abcdef", secret_scan.ALPHABET[:62]) for _ in range(200)]
+    rows = spark.createDataFrame([(k, f"é is {s}, so") for k, s in enumerate(strings)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(rows, model).collect()}
+    assert np.mean([spans[k] == f"markov:5:{5 + len(s)}" for k, s in enumerate(strings)]) > 0.97
+    words = sorted({w for _, t in texts_of(documents(spark, SMALL)) for w in re.findall("[a-z]{4,}", t)})
+    identifiers = [x for x in (rng.choice("_-/").join(rng.choices(words, k=2)) for _ in range(3000)) if 14 <= len(x) < 20]
+    assert len(identifiers) > 300 and np.mean([bool(secret_scan.find_spans(x, model)) for x in identifiers]) < 0.01
+    assert not secret_scan.find_spans("on 2024-01-15, at 2024-01-15T10:30, call 212-555-0037", model)
+
+
 def test_op1_redacts_every_span(spark, hard):
     model = secret_scan.train(hard)
     rows = spark.createDataFrame([(k, s) for k, s in enumerate(SECRETS)] + [(99, None)], "doc_id long, text string")
