@@ -1,8 +1,8 @@
 """Secret scans: pattern rules plus character Markov models compared by log-likelihood ratio.
 
-Three pattern rules give the base spans. On every other long run of token characters two first-order Markov models,
-one of random strings and one of ordinary identifiers, are compared; a run whose mean log-likelihood ratio per
-character passes a threshold is one more span. Both models are trained from labelled samples: the values that the rules
+Three pattern rules give the base spans. On every other long run of token characters, or what base spans leave of one,
+two first-order Markov models, one of random strings and one of ordinary identifiers, are compared; where the mean
+log-likelihood ratio per character passes a threshold, it is one more span. Both models are trained from labelled samples: the values that the rules
 find and seeded random strings against the words of the corpus, joined as identifiers join them.
 
 Null and empty texts have no spans. Rows are judged one by one, so repeated rows and ids get equal results. Positions
@@ -115,13 +115,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
 
 
 def find_spans(text: str, model: MarkovRatio) -> list[tuple[int, int, int]]:
-    """All spans of one text: the base spans, then Markov spans that touch none of them."""
+    """All spans of one text: the base spans, then Markov spans of what these leave of each run."""
     found = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        if m.end() - m.start() >= LEAST_RUN and not any(a < m.end() and m.start() < b for a, _, b in found):
-            if model.is_secret(m[0]):
-                more.append((m.start(), 3, m.end()))
+        if m.end() - m.start() < LEAST_RUN:
+            continue
+        start = m.start()
+        for a, b in [(a, b) for a, _, b in found if a < m.end() and m.start() < b] + [(m.end(), m.end())]:
+            if a - start >= LEAST_RUN and model.is_secret(text[start:a]):
+                more.append((start, 3, a))
+            start = max(start, b)
     return sorted(found + more)
 
 
