@@ -22,9 +22,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates: five words, similarity of 0.8."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group of near duplicates: five words, similarity of 0.8.
+
+    Where ids are repeated, one row of each id and text stays as a document of its own, and the texts of an id are judged
+    one by one, in the order of their hashes. Rows without an id all stay.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.where("doc_id is not null").withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    rows = rows.groupBy("doc_id", "digest").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    # numbers that grow with the id and the hash: ranges are in order, and so are the rows in each
+    rows = stored(rows.orderBy("doc_id", "digest").select(F.monotonically_increasing_id().alias("number"), "doc_id", "row.*"))
+    gone = minhash.near_duplicates(rows, "number").where("not kept").select("number").distinct()
+    return rows.join(gone, "number", "left_anti").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,16 @@ def test_near_duplicates(kept):
     assert sorted(i for i, _ in texts_of(kept[2])) == want and len(want) < kept[1].count()
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    words = [f"word{k}" for k in range(200)]
+    one, near_one, two, three = " ".join(words[:90]), " ".join(words[:89]), " ".join(words[90:140]), " ".join(words[140:])
+    rows = [(5, one), (5, one), (6, two), (7, near_one), (7, three), (8, ""), (8, ""), (8, None), (None, two), (None, two)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(5, one), (6, two), (7, three), (8, ""), (8, None), (None, two), (None, two)])
+
+
 def test_secrets(kept):
     model = secret_scan.train(kept[2])
     clean = dict(texts_of(kept[3]))
