@@ -120,7 +120,7 @@ def previous_version(spark: SparkSession, catalog: str, dataset: str, version: s
     if not fs.exists(path):
         return None
     rows = read_any(spark, catalog, "jsonl").where((F.col("dataset_name") == dataset) & (F.col("dataset_version") != version))
-    for row in rows.orderBy(F.desc("timestamp_utc")).limit(20).collect():
+    for row in rows.orderBy(F.desc("timestamp_utc")).toLocalIterator():
         place = json.loads(row.metadata)["path"]
         fs, hadoop = _fs(spark, place)
         if fs.exists(hadoop):

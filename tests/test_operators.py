@@ -175,3 +175,13 @@ def test_every_hundredth_vector_asks(spark):
 
     asked = QUERIES["knn_hundredth"](spark, "/root/testdata/sf0.1")
     assert asked.count() == 5 * spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 100 = 0").count() == 100
+
+
+def test_previous_version_walks_the_whole_catalogue(spark, tmp_path):
+    catalog, place = str(tmp_path / "catalog"), tmp_path / "first"
+    place.mkdir()
+    paths = [str(place)] + [str(tmp_path / f"gone{k}") for k in range(25)]
+    entries = [("d", f"v{k}", f"2026-01-{k + 1:02}", f'{{"path": "{path}"}}') for k, path in enumerate(paths)]
+    spark.createDataFrame(entries, "dataset_name string, dataset_version string, timestamp_utc string, metadata string").coalesce(1).write.json(catalog)
+    assert lake.previous_version(spark, catalog, "d", "v25") == str(place)
+    assert lake.previous_version(spark, catalog, "d", "v0") is None
