@@ -6,7 +6,8 @@ constant time. Equal hashes stand for equal spans, and longest common extensions
 A text's fingerprint is its length, the hash of the whole, and the smallest hashes of its spans of 16 code points (of 4
 or 1 for short texts) in order. Equal texts have equal fingerprints. The likeness of two fingerprints is 1 if they are equal,
 else the share of common spans, 2 J / (1 + J) for the Jaccard similarity J estimated from the smallest hashes; further
-copies of a span in a text count as spans of their own.
+copies of a span in a text count as spans of their own. Where a short and a long text have no size of spans in common, the
+long one's spans of the short one's size are taken for the comparison; they are not part of its fingerprint.
 
 Each text is also compared with the next document's in ascending order of ids (after the last, the first; rows with one
 id in order of their texts) and with its own edited text, whose last quarter is replaced by the next's beginning. The
@@ -88,12 +89,16 @@ def sketches(index: SpanIndex, at: np.ndarray) -> list[tuple]:
     for a, n, h in zip(at.tolist(), np.diff(at).tolist(), whole.tolist()):
         spans = []
         for size, least, most in SCALES:
-            k = np.arange(a, a + n - size + 1) if least <= n < most else np.empty(0, np.int64)
-            spans.append(_smallest(mix(index.hash(k, k + size).astype(np.uint64))))
+            spans.append(_spans(index, a, n if least <= n < most else 0, size))
         out.append((n, h, *spans))
     return out
 
 
+def _spans(index: SpanIndex, a: int, n: int, size: int) -> np.ndarray:
+    k = np.arange(a, a + max(0, n - size + 1))
+    return _smallest(mix(index.hash(k, k + size).astype(np.uint64)))
+
+
 def _smallest(hashes: np.ndarray) -> np.ndarray:
     """The KEPT smallest values, sorted, with a hash of its own for each further copy of a span."""
     hashes = np.sort(hashes)
@@ -107,17 +112,25 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
     return np.sort(hashes).astype(np.uint32)
 
 
-def likeness(a, b) -> float:
-    """From 0 to 1; 1 only for equal fingerprints or sets of spans."""
+def _shared(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = set(a.tolist()), set(b.tolist())
+    least = sorted(x | y)[:KEPT]
+    j = sum(h in x and h in y for h in least) / len(least)
+    return 2 * j / (1 + j)
+
+
+def likeness(a, b, index: SpanIndex, at: tuple[int, int]) -> float:
+    """From 0 to 1; 1 only for equal fingerprints or sets of spans. ``at``: where the two texts start in the index."""
     if a[:2] == b[:2]:
         return 1.0
+    if not (a[0] and b[0]):
+        return 0.0
     for k in range(2, 2 + len(SCALES)):
         if len(a[k]) and len(b[k]):
-            x, y = set(a[k].tolist()), set(b[k].tolist())
-            least = sorted(x | y)[:KEPT]
-            j = sum(h in x and h in y for h in least) / len(least)
-            return 2 * j / (1 + j)
-    return 0.0
+            return _shared(a[k], b[k])
+    shorter = min(a, b, key=lambda x: x[0])
+    size = next(SCALES[k][0] for k in range(len(SCALES)) if len(shorter[2 + k]))
+    return _shared(*(_spans(index, start, x[0], size) for start, x in zip(at, (a, b))))
 
 
 def said(fingerprint) -> str:
@@ -146,7 +159,8 @@ def _work(ids: list, texts: list[str], nexts: list[str | None]) -> pa.RecordBatc
         [
             pa.array(ids, pa.int64()), pa.array(sizes[:n]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
             pa.array(map(said, mine)), pa.array(map(said, other)),
-            pa.array(map(likeness, mine, other)), pa.array([0.0 if f is None else likeness(a, b) for a, b, f in zip(mine, after, nexts)]),
+            pa.array([likeness(mine[k], other[k], index, (starts[k], starts[n + k])) for k in range(n)]),
+            pa.array([0.0 if nexts[k] is None else likeness(mine[k], after[k], index, (starts[k], starts[2 * n + k])) for k in range(n)]),
             pa.array(same[0]), pa.array(same[1]),
         ],
         names=SCHEMA.names,

@@ -198,6 +198,16 @@ def test_op2_rest_of_texts(spark, hard):
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 
+def test_op3_likeness_of_short_and_long_texts(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=4000))
+    for short, size, least, most in ((63, 128, 0.5, 0.8), (63, 4000, 0, 0.1), (15, 32, 0.5, 0.8), (3, 40, 0.05, 0.4)):
+        rows = spark.createDataFrame([(1, long[:short]), (2, long[:size])], "doc_id long, text string")
+        assert [least <= r.near_next <= most for r in fingerprints.op3(rows).collect()] == [True, True]
+    rows = spark.createDataFrame([(1, long[:63]), (2, "#" * 200), (3, "")], "doc_id long, text string")
+    assert [r.near_next for r in fingerprints.op3(rows).collect()] == [0, 0, 0]
+
+
 def test_op3(spark, hard):
     rows = hard.dropDuplicates(["doc_id"]).where("doc_id is not null")
     got = {r["doc_id"]: r for r in collected(fingerprints.op3(rows))}
