@@ -3,9 +3,11 @@
 Unit vectors are projected on many random directions. Two vectors at distance d differ in a projection by a normal
 number of deviation d, so near pairs fall into each other's window, centred on the vector, in most projections, and other
 pairs in few: pairs with at least ``LEAST_COLLISIONS`` collisions of ``WINDOWS`` are verified by their cosine in double
-precision. The window and the count are set so that a pair at the threshold is missed about once in 10**5.
+precision. The window and the count are set so that they miss a pair at the threshold with a probability of 1.4e-05.
 
-To avoid touching all pairs, vectors are first sorted into cells of a few further projections each, in several tables;
+To avoid touching all pairs, vectors are first dealt into cells of a few further projections each, in several tables (up to
+``FULL_CELL`` distinct vectors in the largest label, into one cell a label); no projection is sorted, and the windows filter
+all pairs of a tile;
 cells have more projections, and there are more tables, the more vectors a label has, so that the work for a vector
 stays about the same and a pair at the threshold shares a cell in some table with a probability of 1 - 10**-5. Cells are
 compared in tiles of bounded size.

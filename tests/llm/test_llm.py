@@ -290,6 +290,19 @@ def test_op4_cells_keep_recall(spark, monkeypatch):
     assert sum(r["n_links"] > 0 for r in got) >= 0.99 * 800
 
 
+def test_op4_with_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FULL_CELL", 50)
+    assert embedding_dedup.layout(400, 0.98)[0] > 0
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 32))
+    x = np.concatenate((x, x + 0.12 * rng.standard_normal(x.shape)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert want.sum() > 200
+    assert {r.vec_id: r.n_links for r in embedding_dedup.op4(rows).collect()} == dict(enumerate(want.tolist()))
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------
 
 
