@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import fnmatch
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartulary.session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one if it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartulary-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -22,6 +22,22 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def stored(df: DataFrame, name: str = "cartulary") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and safe from the loss of executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` wrote, once nothing reads them any more."""
+    for frame in frames:
+        fs, path = _fs(frame.sparkSession, frame.stored_at)
+        fs.delete(path, True)
+
+
 def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Parquet, CSV (header, every column a string: codes keep their zeros), JSON or JSON lines.
 
