@@ -1,46 +1,36 @@
-"""Tables kept in the cluster's shared folder, and connected components of links between them."""
+"""Connected components of links between tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.sources.lake import discard, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cartulary-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and safe from the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/cartulary-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Edges of one task: a small graph is kept in few files, a large one in as many as it needs.
+EDGES_A_TASK = 1_000_000
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; a component's name is its smallest node.
 
     Each round takes the smallest label among a node and its neighbours and then follows the label's own label, so paths
-    shrink to half their length; it ends when a round changes nothing.
+    shrink to half their length; it ends when a round changes nothing. The tables of a round are deleted after the next;
+    the last one stays for the result. No edges give an empty table; repeated edges and loops count once.
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
     pairs = pairs.union(pairs.select("other", "node"))
     pairs = stored(pairs.union(pairs.select("node", F.col("node").alias("other"))).distinct())
-    labels = stored(pairs.groupBy("node").agg(F.min("other").alias("component")))
+    tasks = 1 + pairs.count() // EDGES_A_TASK
+    labels = stored(pairs.groupBy("node").agg(F.min("other").alias("component")).coalesce(tasks))
     while True:
         near = pairs.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("component"))
-        near = stored(near)
+        near = stored(near.coalesce(tasks))
         jump = near.join(near.select(F.col("node").alias("component"), F.col("component").alias("next")), "component")
-        after = stored(jump.select("node", F.col("next").alias("component")))
+        after = stored(jump.select("node", F.col("next").alias("component")).coalesce(tasks))
         same = after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
+        discard(labels, near)
         labels = after
         if same:
+            discard(pairs)
             return labels

@@ -5,9 +5,11 @@ each rotated by its place; a text's vector bundles (sums) its trigram vectors, w
 a language's prototype bundles the unit vectors of its documents. The prediction is the language whose prototype has
 the largest cosine with the text.
 
-Learning uses rows with a language and, in the query, only those whose crc32 of the id leaves no remainder 2 modulo 4,
-a sample of about ``sample_docs`` of them drawn by a hash of the id. A text that is null or has no letter gets ``und``
-and score 0; so does every text if nothing can be learned. Ties go to the smaller name. Other inputs are never used.
+Learning uses rows with a language and, in the query, only those whose crc32 of the id leaves no remainder 2 modulo 4:
+at most ``sample_docs`` distinct ones and ``sample_bytes`` of text, drawn by a hash of id and text. A text that is null
+or has no letter gets ``und`` and score 0; so does every text if no row with a language can be learned from. Ties go to
+the smaller name. Long texts are counted whole, piece by piece. Repeated rows get equal predictions and are learned from
+once; an empty table gives no rows. Other columns are kept and never used; those named as a new one are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 from cartulary.llm.rows import append_columns, bounded_sample, slices
 
 SYMBOLS, DIMENSION, SEED = 64, 1024, 11
+#: Texts and trigrams whose weights are held at once.
+ROWS, CODES = 512, 4096
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
@@ -48,30 +52,49 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     return (a[codes >> 12] * b[(codes >> 6) & 63] * c[codes & 63]).astype(np.float32)
 
 
-def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of the texts, which of the texts have a letter)."""
-    out, some = np.zeros((len(texts), DIMENSION), np.float32), np.zeros(len(texts), bool)
+def trigrams(text: str, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct trigrams around the letters of a text, their numbers); long texts are counted piece by piece."""
     table = symbols()
-    parts = [table[np.frombuffer(("" if x is None else x).encode("utf-32-le", "surrogatepass"), np.uint32)] for x in texts]
-    keys = []
-    for i, s in enumerate(parts):
-        some[i] = s.any()
-        s = np.concatenate(([0], s, [0])).astype(np.int64)
-        keys.append((i << 18) | ((s[:-2] << 12) | (s[1:-1] << 6) | s[2:])[s[1:-1] > 0])
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    if len(key):
-        codes, column = np.unique(key & 0x3FFFF, return_inverse=True)
-        weights = np.zeros((len(texts), len(codes)), np.float32)
-        weights[key >> 18, column] = np.sqrt(n)
-        out = weights @ trigram_vectors(codes)
-        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = None
+    for a in range(0, len(points), piece):
+        s = np.zeros(min(piece, len(points) - a) + 2, np.int64)
+        low, high = max(0, a - 1), min(len(points), a + piece + 1)
+        s[1 - (a - low) : 1 - (a - low) + high - low] = table[points[low:high]]
+        keys = ((s[:-2] << 12) | (s[1:-1] << 6) | s[2:])[s[1:-1] > 0]
+        if len(points) <= piece:
+            return np.unique(keys, return_counts=True)
+        total = np.bincount(keys, minlength=SYMBOLS**3) + (0 if total is None else total)
+    codes = np.empty(0, np.int64) if total is None else np.flatnonzero(total)
+    return codes, codes if total is None else total[codes]
+
+
+def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of the texts, which of the texts have a letter).
+
+    Computed for ROWS texts and CODES trigrams at once, so that memory stays bounded whatever the texts are.
+    """
+    counted = [trigrams(x or "") for x in texts]
+    some = np.array([len(codes) > 0 for codes, _ in counted], bool)
+    out = np.zeros((len(texts), DIMENSION), np.float32)
+    for at in range(0, len(texts), ROWS):
+        part = counted[at : at + ROWS]
+        rows = np.repeat(np.arange(len(part)), [len(codes) for codes, _ in part])
+        codes, columns = np.unique(np.concatenate([codes for codes, _ in part]), return_inverse=True)
+        values = np.sqrt(np.concatenate([n for _, n in part]))
+        for low in range(0, len(codes), CODES):
+            here = (columns >= low) & (columns < low + CODES)
+            weights = np.zeros((len(part), min(CODES, len(codes) - low)), np.float32)
+            weights[rows[here], columns[here] - low] = values[here]
+            out[at : at + ROWS] += weights @ trigram_vectors(codes[low : low + CODES])
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     return out, some
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 20000) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 20000, sample_bytes: int = 256 << 20) -> tuple[list[str], np.ndarray]:
     """(languages, their unit prototypes), from a bounded sample of the rows that have a language."""
-    rows = docs.where(F.col(lang).isNotNull()).select(doc_id, F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = bounded_sample(rows, doc_id, sample_docs).select("lang", "text")
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = bounded_sample(rows, "doc_id", "text", sample_docs, sample_bytes).select("lang", "text")
 
     def bundle(batches):
         total: dict[str, np.ndarray] = {}

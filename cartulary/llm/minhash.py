@@ -8,12 +8,13 @@ full under its first common coordinate and skipped under the others. Links are c
 
 Documents with equal sets are one class throughout. In each posting list every member is first tried against the list's
 smallest id, which gives as many pairs as postings and joins groups of copies, however large; then only pairs of
-different components are left to look at. These are compared in tiles of bounded size, as arrays: a
-first round finds the documents with candidates, a second confirms them on their full sets within the tile, and only a
+different components are left to look at. Lists that are still longer than a tile are split by bands of set sizes and a
+second common coordinate, and all are compared in tiles of bounded size, as arrays: a first round finds the documents with candidates, a second confirms them on their full sets within the tile, and only a
 spanning forest of the links leaves it. Components of all links follow.
 
 Null and empty texts, and null ids, link with nothing: their component is their own id and they are kept. Repeated ids
-are one node. Only the columns for id and text are read.
+are one node. A similarity that equals the threshold links. Long texts are shingled whole; lists and tiles count their
+shingles. Only the columns for id and text are read, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import tiles
-from cartulary.llm.graph import components, stored
+from cartulary.llm.graph import components
 from cartulary.llm.rows import mix, runs, slices, span_hashes, text_view
+from cartulary.sources.lake import discard, stored
 
 COORDINATES, MATCHES = 32, 14
 PREFIX = COORDINATES - MATCHES + 1
-FILTER_BITS = 1 << 24
+#: Ids that are broadcast at most, and shingles that count as one more row in the size of a list.
+BROADCAST_IDS, SHINGLES_A_ROW, DOCS_A_TASK = 1 << 20, 512, 50_000
 _RNG = np.random.default_rng(23)
 _SCALE = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -99,52 +102,81 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """Three places of each id in a filter of FILTER_BITS bits."""
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([(h >> np.uint64(k)) & np.uint64(FILTER_BITS - 1) for k in (0, 13, 38)]).astype(np.int64)
-
-
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of one column of ids. Its size is fixed, so it can be sent everywhere at any scale."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_bits(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    merged = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.coalesce(4).mapInArrow(run, "bits binary").collect():
-        merged |= np.frombuffer(row.bits, np.uint8)
-    return merged
-
-
 def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, ids: DataFrame) -> DataFrame:
-    """(id, sorted distinct shingle hashes) of the documents with these ids, and of a few others that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids.distinct()))
+    """(id, sorted distinct shingle hashes) of the documents with these ids.
+
+    Up to BROADCAST_IDS ids are broadcast, so the documents aren't shuffled; beyond, both sides are dealt by id.
+    """
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy()
-            at = _bits(ids)
-            batch = batch.filter(pa.array(((bits[at >> 3] >> (7 - (at & 7))) & 1).all(0)))
             for part in slices(batch, "text"):
                 hashes, at = shingle_sets(part.column(1), n)
                 sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["id", "shingles"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    ids = ids.distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    The members tried against one ``a`` are dealt to parts of about TILE rows, each with a's own set, however many they are.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / tiles.TILE).alias("parts"))
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("member"), F.col("b").alias("id"))
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("a", "part", F.lit(0).alias("member"), F.col("a").alias("id"))
+    dealt = heads.union(members).join(sets, "id").select("a", "part", "member", "id", "shingles").repartition("a", "part").sortWithinPartitions("a", "part", "member")
+
+    def run(batches):
+        a = part = None
+        heads: list[np.ndarray] = []
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in range(4)]
+            at, every = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            found = []
+            for k, key in enumerate(zip(*(x.tolist() for x in keys))):
+                own = every[at[k] : at[k + 1]]
+                if key[:2] != (a, part):
+                    (a, part), heads = key[:2], []
+                if not key[2]:
+                    heads.append(own)
+                for head in heads if key[2] else ():
+                    place = np.minimum(np.searchsorted(head, own), len(head) - 1)
+                    common = int((head[place] == own).sum())
+                    if 100 * common >= percent * (len(head) + len(own) - common):
+                        found.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """The rows of the lists (``key``) with several components, with the list's ``size``: rows, or more if sets are long."""
+    size = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / SHINGLES_A_ROW))
+    lists = rows.groupBy("key").agg(size.alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return rows.join(lists.select("key", "size"), "key")
+
+
+def divided(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows of all lists to compare: lists longer than a tile are split, first by set sizes, then by a second coordinate.
+
+    Sets whose sizes are too far apart to be similar share no band of sizes or its neighbour. A pair with MATCHES common
+    coordinates, the first of which is c, has a second among those up to PREFIX.
+    """
+    columns = ["key", "id", "n", "c", "component"]
+    first = listed(posted.select(*columns))
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("long")
+    second = first.where(F.col("size") > tiles.TILE).select("*", F.explode(F.array(band, band + 1)).alias("band"))
+    second = listed(second.withColumn("key", F.xxhash64("key", "band")).select(*columns))
+    later = F.transform(F.sequence(F.col("c") + 1, F.lit(PREFIX)), lambda d: F.xxhash64("key", d, F.substring("signature", 4 * d + 1, F.lit(4))))
+    third = second.where(F.col("size") > tiles.TILE).join(classes.select("id", "signature"), "id").select("*", F.explode(later).alias("finer"))
+    third = listed(third.withColumn("key", F.col("finer")).select(*columns))
+    return first.where(F.col("size") <= tiles.TILE).union(second.where(F.col("size") <= tiles.TILE).select(first.columns)).union(third.select(first.columns))
 
 
 def _candidates(percent: int):
@@ -195,18 +227,6 @@ def _linked(percent: int):
             total += part[left] @ part[right].T
         return total
 
-    def forest(near: np.ndarray) -> list[tuple[int, int]]:
-        edges, new = [], np.ones(len(near), bool)
-        for start in range(len(near)):
-            if not new[start]:
-                continue
-            new[start], front = False, np.array([start])
-            while len(front):
-                reached = np.flatnonzero(near[front].any(0) & new)
-                edges += zip(front[near[np.ix_(front, reached)].argmax(0)].tolist(), reached.tolist())
-                new[reached], front = False, reached
-        return edges
-
     def run(batches):
         for table in tiles.groups(batches):
             side, ids, comps = (table.column(c).to_numpy() for c in ("side", "id", "component"))
@@ -217,7 +237,7 @@ def _linked(percent: int):
             good = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (comps[left][:, None] != comps[right])
             near = np.zeros((len(sets), len(sets)), bool)
             near[np.ix_(left, right)] = good
-            edges = forest(near | near.T)
+            edges = tiles.forest(near | near.T)
             a, b = (np.array([ids[e[k]] for e in edges], np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -227,32 +247,34 @@ def _linked(percent: int):
 def links(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, classes of equal sets with their smallest id, components (node, component) of linked classes)."""
     signed = stored(signatures(docs, doc_id, text, n))
+    tasks = 1 + signed.count() // DOCS_A_TASK  # small tables go to few files, those of more work for a row to more
     some = signed.where("id is not null and n_shingles > 0")
     classes = some.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    classes = stored(classes)
+    classes = stored(classes.coalesce(tasks))
 
     coordinates = F.array(*[F.struct(F.lit(c).alias("c"), F.substring("signature", 4 * c + 1, 4).alias("v")) for c in range(PREFIX)])
     posted = classes.select("id", "n", F.explode(coordinates).alias("p")).select("id", "n", F.xxhash64("p.c", "p.v").alias("key"), F.col("p.c").alias("c"))
     lists = posted.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    posted = stored(posted.join(lists, "key"))
+    posted = stored(posted.join(lists, "key").coalesce(tasks))
 
     one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
     tried = posted.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(two, "b")
     tried = tried.join(one, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     matches = sum((F.substring("s_a", 4 * c + 1, 4) == F.substring("s_b", 4 * c + 1, 4)).cast("int") for c in range(COORDINATES))
-    tried = stored(tried.where(matches >= MATCHES).select("a", "b"))
-    found = stored(confirmed(tried, full_sets(docs, doc_id, text, n, tried.select(F.col("a").alias("id")).union(tried.select("b"))), percent))
+    tried = stored(tried.where(matches >= MATCHES).select("a", "b").coalesce(tasks))
+    found = stored(confirmed(tried, full_sets(docs, doc_id, text, n, tried.select(F.col("a").alias("id")).union(tried.select("b"))), percent).coalesce(8 * tasks))
     grouped = components(found, "a", "b")
 
-    posted = posted.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    posted = posted.join(mixed.select("key", "size"), "key").join(classes.select("id", "signature"), "id")
-    dealt = tiles.tiled(posted.select("key", "size", "id", "component", "n", "signature", "c"), "key", "size", "id")
-    dealt = stored(dealt.mapInArrow(_candidates(percent), dealt.schema))
+    joined = stored(posted.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).coalesce(tasks))
+    posted_again = divided(joined, classes, percent).join(classes.select("id", "signature"), "id")
+    dealt = tiles.tiled(posted_again.select("key", "size", "id", "component", "n", "signature", "c"), "key", "size", "id")
+    dealt = stored(dealt.mapInArrow(_candidates(percent), dealt.schema).coalesce(8 * tasks))
     some = dealt.select("key", "i", "j", "side", "id", "component").join(full_sets(docs, doc_id, text, n, dealt.select("id")), "id")
     some = some.select("key", "i", "j", "side", "id", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = stored(found.union(some.mapInArrow(_linked(percent), "a long, b long")).distinct())
-    return signed, classes, components(found, "a", "b")
+    every = stored(found.union(some.mapInArrow(_linked(percent), "a long, b long")).distinct().coalesce(tasks))
+    linked = components(every, "a", "b")
+    discard(posted, tried, found, grouped, joined, dealt, every)
+    return signed, classes, linked
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

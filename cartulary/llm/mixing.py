@@ -10,12 +10,14 @@ many of its blocks go left from the hypergeometric law given what is left to dra
 and the quotas hold exactly. Shards take consecutive, hence disjoint, blocks of the permuted order; ``place`` orders a
 shard's copies at random. Draws are hashes of the seed, so reruns agree.
 
-A document's position in its source is the sum over the hash buckets before its own, plus a running sum in the bucket;
-buckets grow in number with the rows, so a source with most of the rows is spread like any other. The sources are
-numbered and filled in one task: there is one row for each.
+A document's position in its source is the sum over the hash buckets before its own, taken in stretches, plus a running
+sum in the bucket; buckets grow in number with the rows, so a source with most of the rows is spread like any other. The
+sources are numbered and filled in one task and each node of the tree holds one number for each: there is one row for a
+source, so this suits up to about a million sources, not one for each document.
 
 Null texts have size 0 and are never taken; null sources form a source of their own; null ids and repeated rows are rows
-as all others (equal rows are interchangeable). Columns named as a new one are replaced. An empty table gives no rows.
+as all others (equal rows are interchangeable). Long texts are counted whole. Ties in the order of filling go to the
+smaller rank. ``mix`` replaces columns named as a new one, ``mixed`` keeps all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 # Weights of the sources, repeating.
 WEIGHTS = (5, 2, 1)
-ROWS_A_BUCKET = 512
+ROWS_A_BUCKET, BUCKETS_A_STRETCH, ROWS_A_TASK = 512, 4096, 50_000
 NEW = ("size", "source_size", "target", "taken", "shards", "place")
 
 
@@ -113,22 +115,33 @@ def split_tree(blocks: DataFrame, depth: int, seed: int) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.explode("own").alias("x")).select("x.rank", "shard", "x.n_blocks")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", depth: int = 4, blocks_a_shard: int = 64, most_repeats: int = 3, seed: int = 5) -> DataFrame:
-    """The rows of ``docs`` with their part of the mix.
+def sums_before(groups: DataFrame, key: str, bucket: str, value: str) -> DataFrame:
+    """(key, bucket, before): the sum of a value over a key's buckets with smaller numbers.
 
-    ``size``, ``source_size`` and ``taken`` are words (``taken`` counts repeats; the last copy of a source may be in
-    part), ``target`` is the source's. ``shards`` has the output shard, 0 to 2**depth - 1, of each copy and ``place``
-    orders the copies in a shard.
+    Buckets are summed in stretches first, so no task holds all buckets of a key.
     """
-    rows = docs.drop(*NEW)
-    n_buckets = max(1, rows.count() // ROWS_A_BUCKET)
-    draw = F.xxhash64(F.col(doc_id), F.lit(seed))
+    groups = groups.select(key, bucket, value, F.floor(F.col(bucket) / BUCKETS_A_STRETCH).alias("stretch"))
+    below = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = groups.groupBy(key, "stretch").agg(F.sum(value).alias("whole"))
+    stretches = stretches.select(key, "stretch", F.coalesce(F.sum("whole").over(below("stretch").partitionBy(key)), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum(value).over(below(bucket).partitionBy(key, "stretch")), F.lit(0))
+    return groups.select(key, "stretch", bucket, inside.alias("inside")).join(stretches, [key, "stretch"]).select(key, bucket, (F.col("inside") + F.col("start")).alias("before"))
+
+
+def _mix(docs: DataFrame, doc_id: str, text: str, source: str, depth: int, blocks_a_shard: int, most_repeats: int, seed: int) -> tuple[DataFrame, int]:
+    """(rows with the columns of ``docs`` named u0, u1, ... and ``NEW``, the number of rows)."""
+    user = {c: f"u{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*user.values())
+    doc_id, text, source = user[doc_id], user[text], user[source]
+    n_rows = rows.count()
+    n_buckets = max(1, n_rows // ROWS_A_BUCKET)
+    draw = lambda k: F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed + k))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    rows = rows.select("*", words(text).alias("size"), key.alias("__key"), F.pmod(draw, F.lit(n_buckets)).alias("__bucket"), F.xxhash64(F.col(doc_id), F.lit(seed + 1)).alias("__draw"))
+    rows = rows.select("*", words(text).alias("size"), key.alias("key"), F.pmod(draw(0), F.lit(n_buckets)).alias("bucket"), draw(1).alias("draw"))
 
-    groups = rows.groupBy("__key", "__bucket").agg(F.sum("size").alias("words"))
-    sources = groups.groupBy("__key").agg(F.sum("words").alias("source_size"))
-    sources = sources.select("*", (F.col("__key") == "n").alias("is_null"), F.expr("substr(__key, 2)").alias("name"))
+    groups = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    sources = groups.groupBy("key").agg(F.sum("words").alias("source_size"))
+    sources = sources.select("*", (F.col("key") == "n").alias("is_null"), F.expr("substr(key, 2)").alias("name"))
     sources = targets(sources, most_repeats).withColumn("quota", F.round("target").cast("long"))
     whole = Window.partitionBy()
     n_blocks = blocks_a_shard << depth
@@ -137,33 +150,46 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     shares = split_tree(sources.select("rank", "n_blocks"), depth, seed)
     ends = F.sum("n_blocks").over(Window.partitionBy("rank").orderBy("shard"))
     shares = shares.select("rank", "shard", ends.alias("end")).groupBy("rank").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    sources = sources.select("__key", "rank", "source_size", "target", "quota", "block").join(shares, "rank").drop("rank")
+    sources = sources.select("key", "rank", "source_size", "target", "quota", "block").join(shares, "rank").drop("rank")
 
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.select("__key", "__bucket", before.alias("__before")).join(sources, "__key")
-
-    inside = Window.partitionBy("__key", "__bucket").orderBy("__draw", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(groups, ["__key", "__bucket"]).withColumn("__at", F.col("__at") + F.col("__before"))
+    groups = sums_before(groups, "key", "bucket", "words").join(sources, "key")
+    inside = Window.partitionBy("key", "bucket").orderBy("draw", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(groups, ["key", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
     copies = F.sequence(F.lit(0).cast("long"), F.lit(most_repeats - 1).cast("long"))
-    starts = F.transform(copies, lambda j: F.col("__at") + j * F.col("source_size"))
+    starts = F.transform(copies, lambda j: F.col("at") + j * F.col("source_size"))
     parts = F.transform(starts, lambda a: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("quota") - a)))
     used = F.filter(starts, lambda a: (a < F.col("quota")) & (F.col("size") > 0))
     shards = F.transform(used, lambda a: F.size(F.filter("ends", lambda e: e <= F.floor(a / F.col("block")))))
-    rows = rows.select("*", F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), shards.alias("shards"), F.xxhash64("__draw", F.lit(seed + 2)).alias("place"))
-    return rows.select(*[c for c in docs.columns if c not in NEW], *NEW)
+    taken = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+    place = F.xxhash64("draw", F.lit(seed + 2))
+    return rows.select(*user.values(), "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"), place.alias("place")), n_rows
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", depth: int = 4, blocks_a_shard: int = 64, most_repeats: int = 3, seed: int = 5) -> DataFrame:
+    """The rows of ``docs`` with their part of the mix.
+
+    ``size``, ``source_size`` and ``taken`` are words (``taken`` counts repeats; the last copy of a source may be in
+    part), ``target`` is the source's. ``shards`` has the output shard, 0 to 2**depth - 1, of each copy and ``place``
+    orders the copies in a shard. Columns of ``docs`` that are named as one of these are replaced.
+    """
+    rows, _ = _mix(docs, doc_id, text, source, depth, blocks_a_shard, most_repeats, seed)
+    return rows.select(*[F.col(f"u{k}").alias(c) for k, c in enumerate(docs.columns) if c not in NEW], *NEW)
 
 
-def mixed(docs: DataFrame, depth: int = 6, **options) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", depth: int = 6, blocks_a_shard: int = 64, most_repeats: int = 3, seed: int = 5) -> DataFrame:
     """The mix itself: whole copies of the rows of ``docs``, dealt to the shards and shuffled within them.
 
-    A copy that the mix takes in part is kept whole if at least half of it is taken. Columns are those of ``docs``.
+    A copy that the mix takes in part is kept whole if at least half of it is taken. Columns and their values are those
+    of ``docs``, whatever their names. A shard is written by as many tasks as its rows need, each a range of its order.
     """
-    rows = mix(docs, depth=depth, **options)
+    rows, n_rows = _mix(docs, doc_id, text, source, depth, blocks_a_shard, most_repeats, seed)
+    tasks = max(1, n_rows // (ROWS_A_TASK << depth))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rows = rows.withColumn("__shard", F.explode(F.slice("shards", F.lit(1), copies)))
-    rows = rows.repartition(1 << depth, "__shard").sortWithinPartitions("__shard", F.xxhash64("place", "__shard"), "place")
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("shard", F.explode(F.slice("shards", F.lit(1), copies))).withColumn("order", uniform("place", "shard"))
+    rows = rows.withColumn("part", (F.col("shard") * tasks + F.floor(F.col("order") * tasks)).cast("int"))
+    rows = rows.repartitionById(tasks << depth, "part").sortWithinPartitions("part", "order", "place")
+    return rows.select(*[F.col(f"u{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op5(docs: DataFrame) -> DataFrame:

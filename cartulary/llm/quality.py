@@ -5,8 +5,11 @@ fits one shallow tree to one feature at a time and adds it to the feature's look
 joint bins explain most of what is left get two-way tables in the same way. A text's score is the logistic of the sum of
 its bins' entries, so scoring is a few table look-ups for each row of a slice.
 
-Null and empty texts have the features of an empty text and a score as any other. Texts are measured whole. Labels of
-the held-out fold are never read. Without two classes of labels, every score is the share of positive ones (0.5 if none).
+Null and empty texts have the features of an empty text and a score as any other. Texts are measured whole, however
+long. Labels of the held-out fold are never read. Without two classes of labels, every score is the share of positive
+ones (0.5 if there are none, at least 0.001 and at most 0.999). Ties: of equal cuts the first wins, of equal pairs of
+features the first in order. Null ids are not held out and never learned from; repeated rows get equal scores and are
+learned from once. An empty table gives no rows. Other columns are kept and never read; one named ``score`` is replaced.
 """
 
 from __future__ import annotations

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text worked on at once; bounds the memory of the vectorised steps whatever the batch holds.
-SLICE_BYTES = 1 << 20
+from cartulary.sources.lake import discard, stored
+
+#: Bytes and rows of text worked on at once; bound the memory of the vectorised steps whatever the batch holds.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+DRAW = "__draw"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +35,13 @@ def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive row ranges of about ``most`` bytes of text each, one row at least."""
+    """Consecutive row ranges of about ``most`` bytes of text and SLICE_ROWS rows each, one row at least."""
     _, at = text_view(batch.column(batch.schema.get_field_index(column)))
     row, n = 0, batch.num_rows
     while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
-        yield batch.slice(row, min(end, n) - row)
-        row = min(end, n)
+        end = min(n, row + SLICE_ROWS, max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1))
+        yield batch.slice(row, end - row)
+        row = end
 
 
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
@@ -62,14 +65,29 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make:
     return kept.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """A sample of about ``most`` rows at most, drawn by a hash of ``key``: the same rows on each run."""
-    share = min(1.0, most / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else df
-
+def bounded_sample(df: DataFrame, key: str, text: str, most: int, most_bytes: int) -> DataFrame:
+    """At most ``most`` distinct rows and ``most_bytes`` of text, the same rows on each run, as a stored table.
 
-def utf8(column: pa.Array) -> pa.Array:
-    return column.fill_null("") if column.null_count else column
+    Rows are drawn by a 64-bit hash of key and text: the smallest ones, so that rows with one id, or none, are drawn
+    apart. Equal keys with equal texts are one row. A threshold from the number of rows lets about a quarter more rows
+    than needed pass, which are written once; it is raised until a row passes. So the sample is never empty unless the
+    table is, or every text is larger than the whole bound; such texts are left out. ``df`` keeps its columns.
+    """
+    count, rows = df.count(), df.withColumn(DRAW, F.xxhash64(key, text, F.lit("sample")))
+    share = (1.25 * most + 100) / max(1, count)
+    while True:
+        some = rows if share >= 1 else rows.where(F.col(DRAW) < int((share - 0.5) * 2**64))
+        some = stored(some.dropDuplicates([DRAW]))
+        if share >= 1 or not some.isEmpty():
+            break
+        share *= 1000
+        discard(some)
+    # numbers and sizes of a bounded number of rows: the last one that fits
+    fits = F.coalesce(F.octet_length(text), F.lit(0)) <= most_bytes
+    sizes = some.where(fits).select(DRAW, F.coalesce(F.octet_length(text), F.lit(0)).alias("size")).orderBy(DRAW).limit(most).collect()
+    ends = np.cumsum([r.size for r in sizes])
+    last = sizes[int(np.searchsorted(ends, most_bytes, "right")) - 1][DRAW] if sizes else None
+    return some.where(fits & (F.col(DRAW) <= F.lit(last).cast("long"))).drop(DRAW)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +45,15 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pairs(rows: DataFrame, find: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs (a < b) that ``find`` returns from each tile, given its rows and the places of its two sides."""
-
-    def run(batches):
-        for table in groups(batches):
-            side = table.column("side").to_numpy()
-            a, b = find(table, np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """The edges of a spanning forest of a symmetric matrix of links: they join what the links join."""
+    edges, new = [], np.ones(len(near), bool)
+    for start in np.flatnonzero(near.any(1)).tolist():
+        if not new[start]:
+            continue
+        new[start], front = False, np.array([start])
+        while len(front):
+            reached = np.flatnonzero(near[front].any(0) & new)
+            edges += zip(front[near[np.ix_(front, reached)].argmax(0)].tolist(), reached.tolist())
+            new[reached], front = False, reached
+    return edges

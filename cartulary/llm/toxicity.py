@@ -4,8 +4,11 @@ A sentence's probability is logistic in its hashed words and their beginnings; a
 sentences'. The weights are trained from document labels alone, by gradient descent on a bounded sample, for features
 that positive documents have more often than chance gives. Scoring the sentences then locates the offending ones.
 
-Null and empty texts have no sentence and score the noisy-or of none, 0. Whole texts are scored, in vectorised passes
-over their bytes. Labels of the held-out fold are never read; without any label every score is 0.
+Null and empty texts have no sentence and score the noisy-or of none, 0. Whole texts are scored, however long, in
+vectorised passes over their bytes. Of sentences with equal scores the first is the worst. Labels of the held-out fold
+are never read; without any label every score is 0 (to rounding). Null ids are not held out and never learned from;
+repeated rows get equal scores and are learned from once. An empty table gives no rows. Other columns are kept and
+never read; those named as a new one are replaced.
 """
 
 from __future__ import annotations
@@ -156,6 +159,7 @@ def score(docs: DataFrame, model: NoisyOr, text: str = "text", offending: float
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 12000) -> NoisyOr:
+    """Fits the model on at most ``sample_docs`` labelled documents, and ``labelled.MOST_BYTES`` of text."""
     return fit(training_rows(docs, labels, "toxic", sample_docs))
 
 
