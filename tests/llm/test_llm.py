@@ -173,6 +173,43 @@ def test_op2_in_many_units(spark, monkeypatch, hard):
     assert got == removals(texts_of(hard))
 
 
+@pytest.fixture(scope="module")
+def seeded(spark):
+    """One string in thousands of different surroundings, some of them repeated in whole or part."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop"
+    around = ["".join(rng.choices(letters, k=40)) for _ in range(3000)]
+    texts = [a + "one seed for them all" + rng.choice(around) for a in around]
+    texts += [x[rng.randint(0, 20) :] for x in rng.choices(texts, k=300)]
+    return spark.createDataFrame([(k, " ".join(texts[11 * k : 11 * k + 11])) for k in range(300)], "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("table", ["hard", "seeded"])
+def test_op2_cuts_hot_seeds_finer(request, table):
+    rows = request.getfixturevalue(table).select("doc_id", "text")
+    got = collected(suffix_dedup.deduplicated(rows, hot=3, at_once=500))
+    assert sum(r["n_removed"] for r in got) > 1000
+    assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == removals(texts_of(rows))
+
+
+def test_op2_hot_seed_has_many_small_hashes():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefgh", k=60)) + "one seed for them all" + "".join(rng.choices("abcdefgh", k=60)) for _ in range(20000)]
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.arange(len(texts) + 1) * len(texts[0])
+    plain = np.unique(suffix_dedup.stretches(data, at)[0], return_counts=True)
+    hot = plain[0][plain[1] > 1000]
+    assert len(hot)
+    finer = np.unique(suffix_dedup.stretches(data, at, hot)[0], return_counts=True)
+    assert finer[1].max() < plain[1].max() / 5
+
+
+def test_op2_equal_hashes_are_compared(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    data = np.frombuffer(b"aaaabbbbaaaaaaacbbbb", np.uint8)
+    content, later = suffix_dedup.classes(data, np.arange(0, 20, 4), np.full(5, 4), np.arange(5))
+    assert later.tolist() == [False, False, True, False, False] and len(set(content.tolist())) == 4
+
+
 def test_previous_factors():
     rng = random.Random(3)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(12, 40))) for _ in range(12)]
