@@ -27,12 +27,13 @@ def metric(df: DataFrame, names: list[str], fallback: float = 0.0) -> Column:
 def min_max(df: DataFrame, **metrics: str) -> DataFrame:
     """Adds ``name=column`` scaled to 0..1 over the whole table; 0 if the column is constant. Null stays null.
 
-    One aggregate for all of them gives a single row, which is joined back: no window over the whole table.
+    One aggregate for all of them gives a single row, whose values go into the plan as literals: one more pass, no
+    window and no join.
     """
-    edges = [f(F.col(c)).alias(f"__{k}_{n}") for n, c in metrics.items() for k, f in (("low", F.min), ("high", F.max))]
-    joined = df.crossJoin(F.broadcast(df.agg(*edges)))
+    edges = df.agg(*[f(F.col(c)).alias(f"{k}_{n}") for n, c in metrics.items() for k, f in (("low", F.min), ("high", F.max))]).first()
     out = []
     for name, column in metrics.items():
-        low, high = F.col(f"__low_{name}"), F.col(f"__high_{name}")
-        out.append(F.when(low.isNull() | (low == high), F.lit(0.0)).otherwise((F.col(column) - low) / (high - low)).alias(name))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in metrics], *out)
+        low, high = edges[f"low_{name}"], edges[f"high_{name}"]
+        value = F.lit(0.0) if low is None or low == high else (F.col(column) - F.lit(low)) / (F.lit(high) - F.lit(low))
+        out.append(value.alias(name))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in metrics], *out)

@@ -48,7 +48,7 @@ def optional_int(column: Column) -> Column:
 
 def split_list(column: Column, separator: str = ";") -> Column:
     """Trimmed parts that aren't blank; null gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(column, F.lit("")), separator), F.trim)
+    parts = F.transform(F.split(F.coalesce(column, F.lit("")), separator), lambda x: F.trim(x))  # trim takes two arguments
     return F.filter(parts, lambda x: x != "")
 
 

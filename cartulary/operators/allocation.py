@@ -23,7 +23,25 @@ CAPS = {
     "prefeito_pequeno": 420_000,
 }
 STATE_OFFICES = {"deputado_federal", "deputado_estadual", "governador", "senador"}
-COLUMNS = "municipio cluster ranking indice PD_qt pop budget digital offline meta_fb_ig youtube tiktok whatsapp google_ads evento_presencial radio_local impresso".split()
+COLUMNS = [
+    "municipio",
+    "cluster",
+    "ranking",
+    "indice",
+    "PD_qt",
+    "pop",
+    "budget",
+    "digital",
+    "offline",
+    "meta_fb_ig",
+    "youtube",
+    "tiktok",
+    "whatsapp",
+    "google_ads",
+    "evento_presencial",
+    "radio_local",
+    "impresso",
+]
 SMALL_TOWN, SMALL_TOWN_BONUS, META_FLOOR = 20_000, 0.05, 0.30
 OFFLINE_SHARES = {"evento_presencial": (0.55, 0.40, 0.25), "radio_local": (0.30, 0.35, 0.45), "impresso": (0.15, 0.25, 0.30)}
 

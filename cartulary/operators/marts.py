@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.numbers import first_existing, metric, min_max
-from cartulary.operators.relational import cycle_label, cycle_window, keep_first, trend
+from cartulary.operators.relational import cycle_window, keep_first, latest_years, left_enriched, trend, within_years, year_label
+from cartulary.sources.lake import stored
 
 ID = "municipio_id_ibge7"
 # Names under which sources carry a metric, in order.
@@ -56,11 +57,14 @@ def normed(df: DataFrame, norms: dict[str, str]) -> DataFrame:
 
 
 def electoral_base(fact: DataFrame, cycles: int) -> DataFrame:
-    """Means over the latest cycles by entity, with the label of the cycles on each row."""
-    scope = cycle_window(fact, cycles)
+    """Means over the latest cycles by entity, with the label of the cycles on each row.
+
+    Every mart reads it, so it is computed once and stored: one row for each entity.
+    """
+    years = latest_years(fact, cycles)
     index = first_existing(fact, ["indice_final"]) or "ranking_final"
-    base = scope.groupBy(ID).agg(F.avg("ranking_final").alias("ranking_medio_3ciclos"), F.avg(index).alias("indice_medio_3ciclos"), F.count_distinct("ano").alias("anos_observados"))
-    return base.crossJoin(F.broadcast(scope.agg(cycle_label(scope).alias("janela_anos"), F.max("ano").alias("__ano"))))
+    base = within_years(fact, years).groupBy(ID).agg(F.avg("ranking_final").alias("ranking_medio_3ciclos"), F.avg(index).alias("indice_medio_3ciclos"), F.count_distinct("ano").alias("anos_observados"))
+    return stored(base.withColumns({"janela_anos": F.lit(year_label(years)), "__ano": F.lit(max(years, default=None)).cast("int")}))
 
 
 def potential(base: DataFrame, ibge: DataFrame, variant: str = "full") -> DataFrame:
@@ -100,27 +104,39 @@ def municipal(base: DataFrame, socio: DataFrame) -> DataFrame:
 
 def turn_trend(fact: DataFrame, sections: DataFrame | None, cycles: int) -> DataFrame:
     """Mean, deviation and number of the totals by year and turn: votes of sections if there are any, else the index."""
+    rows = fact if sections is None else sections
+    years = latest_years(rows, cycles)
+    scope, keys = within_years(rows, years), ["ano", "turno"]
     if sections is not None:
-        scope = cycle_window(sections, cycles)
-        out = trend(scope, ID, ["ano", "turno"], "votos_validos")
-        names = ("votos_validos_medio_3ciclos", "votos_validos_std_3ciclos")
+        out, names = trend(scope, ID, keys, "votos_validos"), ("votos_validos_medio_3ciclos", "votos_validos_std_3ciclos")
     else:
-        scope = cycle_window(fact, cycles)
-        out = trend(scope, ID, ["ano", "turno"], first_existing(fact, ["indice_final"]) or "ranking_final", F.avg)
-        names = ("indice_medio_3ciclos", "indice_std_3ciclos")
-    out = out.withColumnsRenamed({"media": names[0], "desvio": names[1]})
-    return out.crossJoin(F.broadcast(scope.agg(cycle_label(scope).alias("janela_anos"))))
+        out, names = trend(scope, ID, keys, first_existing(fact, ["indice_final"]) or "ranking_final", F.avg), ("indice_medio_3ciclos", "indice_std_3ciclos")
+    return out.withColumnsRenamed({"media": names[0], "desvio": names[1]}).withColumn("janela_anos", F.lit(year_label(years)))
+
+
+def context(socio: DataFrame, label: str) -> DataFrame:
+    """The indicators of each entity, one row for each, with the label of the cycles."""
+    rows = keep_first(socio, [ID], [F.col(f"`{c}`").asc_nulls_last() for c in socio.columns])
+    return rows.withColumn("janela_anos", F.lit(label))
+
+
+def cache(whole: DataFrame, social: DataFrame, place: DataFrame, money: DataFrame) -> DataFrame:
+    """The marts that questions are served from, joined by entity; columns of the first win."""
+    for mart in (social, place, money):
+        whole = left_enriched(whole, mart.drop(*[c for c in mart.columns if c != ID and c in whole.columns]), ID, "")
+    return whole
 
 
 def gold(fact: DataFrame, socio: DataFrame, ibge: DataFrame, seade: DataFrame, fiscal: DataFrame, sections: DataFrame | None, cycles: int = 3) -> dict[str, DataFrame]:
     """All marts by name."""
     base = electoral_base(fact, cycles)
+    label = base.select("janela_anos").first()
     place = territorial(base, seade)
     cost = [ID, "ranking_medio_3ciclos", "indice_medio_3ciclos", "anos_observados", "emprego_formal", "urbanizacao_pct", "acesso_internet_pct", "estrutura_urbana_indice", "ruralidade_pct", "estrutura_urbana_norm", "ruralidade_norm", "emprego_norm", "custo_mobilizacao_relativo", "janela_anos"]
     return {
         "mart_municipio_eleitoral": municipal(base, socio),
         "mart_tendencia_turno": turn_trend(fact, sections, cycles),
-        "mart_contexto_socioeconomico": keep_first(socio, [ID], [F.col(c).asc_nulls_last() for c in socio.columns]).crossJoin(F.broadcast(base.select("janela_anos").limit(1))),
+        "mart_contexto_socioeconomico": context(socio, label[0] if label else ""),
         "mart_potencial_eleitoral_social": potential(base, ibge),
         "mart_priorizacao_territorial_sp": place.drop("custo_mobilizacao_relativo"),
         "mart_custo_mobilizacao": place.select(*cost),

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DRIFT_ALERT = 0.2
 # Columns with personal data; columns that serving may show.
 PERSONAL = {"cpf", "email", "telefone", "celular", "titulo_eleitor", "nome_pessoa", "documento"}
-SERVED = (
-    "municipio_id_ibge7 canonical_key ranking_medio_3ciclos indice_medio_3ciclos potencial_eleitoral_ajustado_social"
-    " score_priorizacao_territorial_sp sensibilidade_investimento_publico janela_anos ano turno ranking_final"
-).split()
+SERVED = [
+    "municipio_id_ibge7",
+    "canonical_key",
+    "ranking_medio_3ciclos",
+    "indice_medio_3ciclos",
+    "potencial_eleitoral_ajustado_social",
+    "score_priorizacao_territorial_sp",
+    "sensibilidade_investimento_publico",
+    "janela_anos",
+    "ano",
+    "turno",
+    "ranking_final",
+]
 
 
 def rate(condition: Column) -> Column:
@@ -54,6 +63,63 @@ def coverage(df: DataFrame, state: str | None, entity: str, year: str) -> DataFr
     return df.agg(states.alias("ufs"), F.count_distinct(blank(entity)).alias("entidades"), F.array_join(years, ",").alias("anos"), F.min(F.col(year).try_cast("int")).alias("inicio"), F.max(F.col(year).try_cast("int")).alias("fim"))
 
 
+def schema_profile(df: DataFrame) -> DataFrame:
+    """(column, position, type) of a table, as Spark names the types."""
+    rows = [(f.name, k, f.dataType.simpleString()) for k, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "column string, position int, type string")
+
+
+# Columns that name an entity and a period, in order.
+ENTITIES = ["municipio_id_ibge7", "codigo_ibge", "municipio", "nome_municipio"]
+PERIODS = ["ano", "mes", "turno", "data_referencia", "competencia"]
+
+
+def load_profile(df: DataFrame) -> DataFrame:
+    """One row on a load: rows, columns, share of nulls, grain, states and number of entities, years with their range.
+
+    One aggregate. The sets are of states and years, which are few; entities are only counted. Blank texts don't count.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    entity = next((c for c in ENTITIES if c in df.columns), None)
+    nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+    texts = lambda c: F.sort_array(F.collect_set(blank(c))) if c in df.columns else F.array().cast("array<string>")
+    years = F.transform(F.filter(texts("ano"), lambda y: y.rlike("^[0-9]+$")), lambda y: y.cast("int"))
+    states = F.sort_array(F.collect_set(F.upper(blank("uf")))) if "uf" in df.columns else F.array().cast("array<string>")
+    out = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(len(df.columns)).alias("columns"),
+        F.coalesce(F.round(F.try_divide(nulls * 100.0, F.count(F.lit(1)) * len(df.columns)), 3), F.lit(0.0)).alias("null_pct"),
+        states.alias("ufs"),
+        (F.count_distinct(blank(entity)) if entity else F.lit(None).cast("long")).alias("municipios_cobertos"),
+        F.array_min(years).alias("inicio"),
+        F.array_max(years).alias("fim"),
+        *[texts(c).alias(c) for c in PERIODS if c in df.columns],
+    )
+    grain = F.lit("municipio") if entity else F.when(F.size("ufs") > 0, "uf").otherwise("indefinida")
+    return out.withColumns({"granularidade": grain, "status": F.when(F.col("rows") > 0, "ok").otherwise("warning")})
+
+
+def load_manifest(df: DataFrame, source: str, path: str, digest: str, collected: str, parser: str, critical: list[str] = ()) -> dict:
+    """What is known of a load: where it is from, its hash, schema, coverage, period and quality."""
+    row = load_profile(df).first().asDict()
+    period = {c: row[c] for c in PERIODS if row.get(c)}
+    span = {k: row[k] for k in ("inicio", "fim") if row[k] is not None}
+    broken = quality_rates(df.withColumn("__status", F.lit("matched")), list(critical), "__status").first()
+    cover = {"granularidade": row["granularidade"], "rows": row["rows"]}
+    cover |= ({"ufs": row["ufs"]} if "uf" in df.columns else {}) | ({"municipios_cobertos": row["municipios_cobertos"]} if row["municipios_cobertos"] is not None else {})
+    return {
+        "fonte": source,
+        "data_coleta_utc": collected,
+        "hash_arquivo": digest,
+        "schema_detectado": {r.column: r.type for r in schema_profile(df).orderBy("position").collect()},
+        "cobertura_territorial": cover,
+        "periodo_referencia": {"colunas": list(period)} | period | span,
+        "qualidade_carga": {"status": row["status"], "rows": row["rows"], "columns": row["columns"], "null_pct": row["null_pct"], "null_critical": broken.null_critical},
+        "versao_parser": parser,
+        "arquivo": path,
+    }
+
+
 def delay_days(moment: Column, now: Column) -> Column:
     """Days from a moment to now, not below 0; 0 for null."""
     return F.coalesce(F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp(moment)) / 86400.0), F.lit(0.0))
@@ -104,6 +170,34 @@ def source_contract(name: str, df: DataFrame) -> dict[str, int]:
     return found
 
 
+# Columns that tables of the layers need, the one that is never blank, and the states of a match.
+LAYER_COLUMNS = {
+    "dim_municipio": ["municipio_id_ibge7", "codigo_tse", "codigo_ibge", "nome_municipio", "municipio_norm"],
+    "fato_eleitoral_municipio": ["municipio_id_ibge7", "ano", "mes", "turno", "canonical_key", "ranking_final", "join_status", "join_method", "join_confidence", "needs_review"],
+    "dim_territorio": ["territorio_id", "cod_tse_municipio", "cod_ibge_municipio", "uf", "nome_padronizado", "zona_eleitoral", "secao_eleitoral", "latitude", "longitude", "geohash", "vigencia_inicio", "vigencia_fim"],
+    "dim_tempo": ["tempo_id", "data", "ano", "mes", "dia", "semana_iso", "dia_semana", "ciclo_eleitoral", "fase_calendario", "is_evento", "evento", "tipo_evento", "pulso_midia", "is_pulso_midia"],
+    "mart_municipio_eleitoral": ["canonical_key", "municipio_id_ibge7", "ano", "turno", "ranking_final"],
+    "municipio_enriched": ["municipio", "ranking_final", "municipio_id_ibge7", "ano", "turno", "canonical_key", "join_status", "join_method", "join_confidence", "needs_review"],
+}
+NEVER_BLANK = {"dim_municipio": ["municipio_id_ibge7", "codigo_ibge"], "dim_territorio": ["territorio_id"], "dim_tempo": ["tempo_id"]}
+NEVER_EMPTY = ["dim_municipio", "fato_eleitoral_municipio", "dim_territorio", "dim_tempo"]
+JOIN_STATES = ["matched", "no_match", "manual_review"]
+
+
+def layer_contract(name: str, df: DataFrame) -> None:
+    """Raises if a table of a layer lacks a column or rows, has a blank key, or a match in an unknown state."""
+    if missing := [c for c in LAYER_COLUMNS[name] if c not in df.columns]:
+        raise ContractError(f"{name}: missing columns {missing}")
+    rules = {f"{c} is given": required(c) for c in NEVER_BLANK.get(name, [])}
+    if "join_status" in df.columns:
+        rules["known state"] = F.col("join_status").isNull() | F.col("join_status").isin(JOIN_STATES)
+    found = violations(df, rules or {"row": F.lit(True)}).collect()
+    if name in NEVER_EMPTY and not found[0].rows:
+        raise ContractError(f"{name} is empty")
+    if broken := {r.rule: r.violations for r in found if r.violations}:
+        raise ContractError(f"{name}: rows break {broken}")
+
+
 def masked(column: Column, salt: str) -> Column:
     """First 16 digits of the sha256 of ``salt:value``; null stays null."""
     return F.substr(F.sha2(F.concat(F.lit(f"{salt}:"), column.cast("string")), 256), F.lit(1), F.lit(16))
@@ -141,19 +235,39 @@ def prioritized(sources: DataFrame) -> DataFrame:
     return rows.withColumn("group", group)
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at the rounded rank of a sorted aggregate; 0 for none. Not interpolated."""
-    ordered = F.sort_array(F.collect_list(values))
-    place = F.bround(F.lit(share) * (F.size(ordered) - 1)).cast("int")
-    return F.coalesce(F.try_element_at(ordered, place + 1), F.lit(0.0))
+def prioritized_report(sources: DataFrame) -> DataFrame:
+    """Prioritized sources by group, the best of each group first."""
+    return prioritized(sources).orderBy("group", F.desc("score"), *[F.asc(c) for c in sources.columns[:1]])
+
+
+def nearest_ranks(df: DataFrame, columns: list[str], share: float) -> dict[str, float]:
+    """For each column the value at the rounded rank of its sorted values, not interpolated; 0 for none. Exact.
+
+    A first pass counts and brackets the rank by approximate quantiles. A second one counts the values below the bracket
+    and each value inside, a thousandth of the rows or so; a running count over these finds the value. Nulls count as 0.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in columns]))
+    rows = df.select(each.alias("x")).select("x.*")
+    n = df.count()
+    apart = 5e-4 + 2 / max(1, n)  # the bracket's quantiles are exact to a ten-thousandth of the rows
+    around = F.percentile_approx("value", [max(0.0, share - apart), min(1.0, share + apart)], 10_000)
+    edges = rows.groupBy("name").agg(around.alias("around"))
+    edges = edges.select("name", F.bround(F.lit(share * (n - 1))).cast("long").alias("place"), F.col("around")[0].alias("low"), F.col("around")[1].alias("high"))
+    inside = rows.join(F.broadcast(edges), "name").where("value <= high")  # one row a column
+    counts = inside.groupBy("name", "place", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).count()
+    upto = F.sum("count").over(Window.partitionBy("name").orderBy(F.col("value").asc_nulls_first()))
+    found = counts.withColumn("upto", upto).where("value is not null and upto > place").groupBy("name").agg(F.min("value").alias("value"))
+    return dict.fromkeys(columns, 0.0) | {r.name: r.value for r in found.collect()}
 
 
-def event_snapshot(events: DataFrame) -> DataFrame:
+def event_snapshot(events: DataFrame, share: float = 0.95) -> DataFrame:
     """Metrics of retrieval events: mean recall and cost, p95 latencies, shares of fallbacks."""
-    p95 = {f"latency_{n}_p95_ms": nearest_rank(F.coalesce(f"latency_{n}_ms", F.lit(0.0)), 0.95) for n in ("total", "vector", "llm")}
+    stages = ["total", "vector", "llm"]
+    ranks = nearest_ranks(events, [f"latency_{n}_ms" for n in stages], share)
+    p95 = {f"latency_{n}_p95_ms": F.lit(float(ranks[f"latency_{n}_ms"])) for n in stages}
     shares = {f"fallback_rate_{n}": rate(F.col(f"fallback_{n}")) for n in ("any", "vector", "llm")}
     rest = {"queries_total": F.count(F.lit(1)), "recall_at_k_avg": F.avg("recall_at_k"), "cost_per_query_avg_usd": F.coalesce(F.avg(F.coalesce("cost_estimated_usd", F.lit(0.0))), F.lit(0.0))}
-    return events.agg(*[c.alias(n) for n, c in (rest | p95 | shares).items()])
+    return events.agg(*[c.alias(n) for n, c in (rest | shares).items()]).withColumns(p95)
 
 
 def recall_at_k(question: Column, retrieved: Column) -> Column:

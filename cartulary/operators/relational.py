@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -17,21 +18,28 @@ def best_row(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> Dat
     return keep_first(df, keys, [F.col(score).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]])
 
 
-def cycle_window(df: DataFrame, cycles: int, year: str = "ano") -> DataFrame:
-    """The rows of the latest ``cycles`` distinct years (one at least); every row if no year is known.
+def latest_years(df: DataFrame, cycles: int, year: str = "ano") -> list[int]:
+    """The latest ``cycles`` distinct years (one at least), ascending: a distinct aggregate and a top-k, run at once."""
+    years = df.select(F.col(year).try_cast("int").alias("y")).where("y is not null").distinct()
+    return sorted(r.y for r in years.orderBy(F.desc("y")).limit(max(1, int(cycles))).collect())
+
+
+def within_years(df: DataFrame, years: list[int], year: str = "ano") -> DataFrame:
+    """The rows of some years; every row if there are none. A filter on literals, so it prunes partitions by year."""
+    if not years:
+        return df
+    value = F.col(year) if isinstance(df.schema[year].dataType, T.IntegralType) else F.col(year).try_cast("int")
+    return df.where(value.isin(years))
 
-    The years are a small distinct aggregate, sorted and cut as a top-k and joined by a broadcast.
-    """
-    years = df.select(F.col(year).try_cast("int").alias("__year")).where("__year is not null").distinct()
-    last = years.orderBy(F.desc("__year")).limit(max(1, int(cycles)))
-    some = F.broadcast(last.agg(F.collect_set("__year").alias("__years")))
-    known = F.array_contains("__years", F.col(year).try_cast("int"))
-    return df.crossJoin(some).where((F.size("__years") == 0) | known).drop("__years")
+
+def cycle_window(df: DataFrame, cycles: int, year: str = "ano") -> DataFrame:
+    """The rows of the latest ``cycles`` distinct years (one at least); every row if no year is known."""
+    return within_years(df, latest_years(df, cycles, year), year)
 
 
-def cycle_label(df: DataFrame, year: str = "ano") -> Column:
-    """The years of an aggregate as ``2022,2024,2026``."""
-    return F.array_join(F.sort_array(F.collect_set(F.col(year).try_cast("int"))), ",")
+def year_label(years: list[int]) -> str:
+    """Years as ``2022,2024,2026``."""
+    return ",".join(map(str, years))
 
 
 def base_metrics(df: DataFrame, entity: str, ranking: str, index: str, year: str) -> DataFrame:

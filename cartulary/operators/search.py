@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# Tables that questions may read. The mart of costs is one of them, since a view of it is served.
 TABLES = {"municipios", "alocacao", "secoes", "mapa_tatico", "mart_custo_mobilizacao"}
 
-
 ITEMS, QUERIES = 1024, 4096  # rows of a block, about
 
 
@@ -98,23 +98,36 @@ ROUTES = [
 ]
 
 
+# The tactical map by town, and the urgent sections.
+TACTICAL_MAP = "SELECT NM_MUNICIPIO AS `município`, cluster, total_secoes AS `seções`, secoes_alta AS alta, secoes_media AS `média`, ROUND(budget_total_mun, 0) AS budget, ROUND(custo_por_secao_alta, 0) AS R_secao_alta FROM mapa_tatico ORDER BY ranking_final"
+URGENT_SECTIONS = "SELECT NM_MUNICIPIO, NR_ZONA, NR_SECAO, score_secao, prioridade_secao FROM secoes WHERE prioridade_secao = 'Alta' ORDER BY score_secao DESC LIMIT 30"
+
+
 def routed_sql(spark: SparkSession, question: str) -> str:
     """The query that a question's keywords choose among those whose table exists."""
     asked = question.lower()
     for words, table, sql in ROUTES:
-        if (not words or any(w in asked for w in words)) and (table is None or spark.catalog.tableExists(table)):
+        if (not words or any(w in asked for w in words)) and (table is None or spark.catalog.tableExists(safe_table(table))):
             return sql
     raise AssertionError("the last route takes every question")
 
 
+def routed_rows(spark: SparkSession, question: str, most: int = 50):
+    """The rows of a question's query that an answer reads, as a frame on the driver."""
+    return spark.sql(routed_sql(spark, question)).limit(most).toPandas()
+
+
+def without_model(data: str, lines: int = 8) -> str:
+    """What is said where no model answers: the first lines of the data."""
+    return "\n".join(data.splitlines()[:lines])
+
+
 def answer(spark: SparkSession, question: str, nearest_names: str = "", complete=None, history: list[dict] = (), lines: int = 8) -> str:
-    """The completion for a question and its data; without a model, or if it fails, the first lines of the data."""
-    rows = spark.sql(routed_sql(spark, question))
-    data = rows.limit(50).toPandas().to_string(index=False)
-    context = f"Municipios relevantes: {nearest_names}\n\nDados:\n{data}"
+    """The completion for a question, its towns and its data; without a model, or if it fails, the data's first lines."""
+    data = routed_rows(spark, question).to_string(index=False)
     if complete is not None:
         try:
-            return complete(list(history)[-6:], question, context)
+            return complete(list(history)[-6:], question, f"Near towns: {nearest_names}\n\n{data}")
         except Exception:  # a failing model must not fail the answer
             pass
-    return "\n".join(data.splitlines()[:lines])
+    return without_model(data, lines)

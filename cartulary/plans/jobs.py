@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from pathlib import Path
 
 import pandas as pd
@@ -170,6 +171,19 @@ def reindex(spark: SparkSession, towns: str, index: str, embedder: Callable[[],
     return state | {"status": "indexed"}
 
 
+# Names of the collections in order, and the rows that one needs.
+COLLECTIONS = ["municipios_v2", "municipios"]
+LEAST_INDEXED = 600
+
+
+def open_index(spark: SparkSession, index: str, names: list[str] = COLLECTIONS, least: int = LEAST_INDEXED) -> DataFrame | None:
+    """The first collection of embedded documents that is there with rows enough, or none."""
+    for name in names:
+        if lake.find_report(spark, name, [index]) and (rows := spark.read.parquet(f"{index}/{name}")).count() >= least:
+            return rows
+    return None
+
+
 def similar_towns(index: DataFrame, vector: list[float], k: int = 5) -> str:
     """Names of the towns nearest to a vector, best first."""
     asked = index.sparkSession.createDataFrame([(0, vector)], "query int, embedding array<float>")
@@ -177,12 +191,62 @@ def similar_towns(index: DataFrame, vector: list[float], k: int = 5) -> str:
     return ", ".join(r.item for r in found)
 
 
-def export(spark: SparkSession, dataset: str, target: str, salt: str, minimize: bool = True, anonymize: bool = False) -> dict:
-    """Copies a dataset with fewer columns and, on request, masked names; one file, for use elsewhere."""
+def export(spark: SparkSession, dataset: str, target: str, salt: str, minimize: bool = True, anonymize: bool = False, gold: list[str] | None = None, store: str | None = None) -> dict:
+    """Copies a dataset with fewer columns and, on request, masked names; one file, for use elsewhere.
+
+    With ``gold`` only datasets in these folders are exported. With ``store``, a folder of any file system, the copy is
+    also put there, under its run, and registered in the store's catalogue.
+    """
+    if gold is not None and not lake.inside(spark, dataset, gold):
+        raise ValueError(f"not in the gold layer: {dataset}")
     rows = lake.read_any(spark, dataset)
     if minimize:
         rows = relational.minimized(rows, ["ranking_final", "municipio", "cluster", "indice_final", "PD_qt", "pop_censo2022"])
     if anonymize and "municipio" in rows.columns:
         rows = rows.withColumn("municipio", quality.masked(F.col("municipio"), salt))
     rows.coalesce(1).write.mode("overwrite").parquet(target)
-    return {"path": target, "rows": spark.read.parquet(target).count(), "columns": rows.columns}
+    done = {"path": target, "rows": spark.read.parquet(target).count(), "columns": rows.columns}
+    if store:
+        run_id = datetime.now(UTC).strftime("%Y%m%d_%H%M%S_%f")
+        done |= {"run_id": run_id, "artifact": lake.copy_raw(spark, target, f"{store}/datasets/{run_id}/{target.rstrip('/').rsplit('/', 1)[-1]}")["path"]}
+        lake.register_version(spark, f"{store}/catalog/versions", {"dataset_name": "exported_towns", "dataset_version": run_id, "timestamp_utc": datetime.now(UTC).isoformat(), "path": done["artifact"], "columns": rows.columns})
+    return done
+
+
+# What an entry of the catalogue of sources has.
+SOURCE_FIELDS = {"key": "string", "nome": "string", "prioridade": "string", "area": "string", "cobertura_municipal": "double", "atualizacao_dias": "int", "licenca_aberta": "boolean", "schema_quality": "double", "endpoint": "string"}
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue of sources, a JSON array; an error if a field is missing or the array is empty."""
+    rows = lake.read_any(spark, path, "json")
+    if missing := [c for c in SOURCE_FIELDS if c not in rows.columns]:
+        raise IngestionError(f"the catalogue of sources lacks {missing}")
+    rows = rows.select(*[F.col(c).cast(t).alias(c) for c, t in SOURCE_FIELDS.items()]).withColumn("prioridade", F.upper("prioridade"))
+    given = quality.violations(rows, {c: F.col(c).isNotNull() for c in SOURCE_FIELDS}).collect()
+    if not given[0].rows or any(r.violations for r in given):
+        raise IngestionError("the catalogue of sources is empty or lacks values: " + ", ".join(r.rule for r in given if r.violations))
+    return rows
+
+
+def prioritize(spark: SparkSession, catalog: str, report: str) -> dict:
+    """Writes the report on a catalogue of sources: accepted ones of class A and B and rejected ones, the best first."""
+    groups: dict[str, list] = {"accepted_a": [], "accepted_b": [], "rejected": []}
+    for r in quality.prioritized_report(read_sources(spark, catalog)).collect():
+        if r.group in groups:
+            groups[r.group].append({"key": r.key, "nome": r.nome, "prioridade": r.prioridade, "area": r.area, "score": r.score, "accepted": r.group != "rejected", "endpoint": r.endpoint, "reasons": r.reasons})
+    lake.write_json(spark, report, groups)
+    return groups
+
+
+def sync(catalog: dict, downloads: Path, fetch: Callable = stores.download) -> list[dict]:
+    """Downloads the assets of a catalogue that changed, without running its pipeline."""
+    downloads.mkdir(parents=True, exist_ok=True)
+    return [{"name": a["name"], "path": str(downloads / a["file_name"]), "status": fetch(a["url"], downloads / a["file_name"])} for a in catalog_assets(catalog)]
+
+
+def save_sheet(rows: DataFrame, path: Path) -> int:
+    """A small result as a workbook on the driver; more rows than a sheet holds are an error before any is written."""
+    if (n := rows.limit(stores.SHEET_ROWS + 1).count()) > stores.SHEET_ROWS:
+        raise ValueError(f"{n} rows or more: a sheet holds {stores.SHEET_ROWS}")
+    return stores.write_sheet(path, rows.columns, (tuple(r) for r in rows.toLocalIterator()))

@@ -20,7 +20,7 @@ ROLES = ("base_eleitoral", "mapping_tse_ibge", "contexto_socio", "ibge_indicador
 
 @dataclass
 class Inputs:
-    """Paths of the sources by role; the first three are needed."""
+    """Paths of the sources by role; the first three are needed. Marts become tables of ``database`` if one is named."""
 
     paths: dict[str, str]
     window_cycles: int = 3
@@ -28,6 +28,7 @@ class Inputs:
     state: str = "SP"
     salt: str = ""
     missing: list[str] = field(default_factory=list)
+    database: str | None = None
 
 
 def _column(df: DataFrame, *names: str) -> str:
@@ -112,6 +113,14 @@ def territory_rows(dim: DataFrame, sections: DataFrame | None, years: tuple[int,
     return rows.withColumns({"vigencia_inicio": F.lit(f"{years[0]}-01-01"), "vigencia_fim": F.lit(f"{years[1]}-12-31")})
 
 
+def serve(spark: SparkSession, served: dict[str, DataFrame], database: str) -> list[dict]:
+    """Each mart as a table of a database, bucketed and sorted by entity, with statistics; names and rows."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, frame in served.items():
+        lake.serve(frame, f"{database}.{name}", ID)
+    return [{"table": f"{database}.{name}", "rows": spark.table(f"{database}.{name}").count()} for name in served]
+
+
 def run(spark: SparkSession, inputs: Inputs, root: str, version: str) -> dict:
     """One run: loads changed sources to bronze, checks contracts, writes silver and gold, registers versions.
 
@@ -130,10 +139,15 @@ def run(spark: SparkSession, inputs: Inputs, root: str, version: str) -> dict:
     for role, path in given.items():
         digest = lake.content_hash(spark, path, role).first()["hash"]
         status = "skipped_unchanged" if state.get(role) == digest else "loaded_changed"
+        bronze[role] = {"hash_sha256": digest, "status": status}
         if status == "loaded_changed":
+            name = path.rstrip("/").rsplit("/", 1)[-1]
+            bronze[role] |= lake.copy_raw(spark, path, f"{root}/bronze/raw/{run_id}/{role}/{name}")
             lake.append_partitioned(frames[role], f"{root}/bronze/data", role, run_id, inputs.year, inputs.state)
             state[role] = digest
-        bronze[role] = {"hash_sha256": digest, "status": status, "rows": frames[role].count()}
+        said = quality.load_manifest(frames[role], role, path, digest, datetime.now(UTC).isoformat(), version, quality.SOURCE_RULES[role]["required"])
+        lake.write_json(spark, f"{root}/bronze/manifests/{run_id}/{role}.json", said)
+        bronze[role] |= {"rows": said["qualidade_carga"]["rows"], "manifest": f"{root}/bronze/manifests/{run_id}/{role}.json"}
     lake.write_json(spark, state_path, state)
 
     dim = municipality_dimension(frames["mapping_tse_ibge"])
@@ -151,24 +165,34 @@ def run(spark: SparkSession, inputs: Inputs, root: str, version: str) -> dict:
     for name, frame in silver.items():
         lake.publish(frame, f"{root}/silver/{run_id}/{name}")
         stored[name] = spark.read.parquet(f"{root}/silver/{run_id}/{name}")
+        if name in quality.LAYER_COLUMNS:
+            quality.layer_contract(name, stored[name])
     years = [stored[n].agg(F.min("ano"), F.max("ano")).first() for n in ("fato_eleitoral_municipio", "fato_eleitoral_secao", "fato_fiscal_municipio") if n in stored and "ano" in stored[n].columns]
     known = [int(y) for pair in years for y in pair if y is not None] + ([inputs.year] if inputs.year else [])
     span = (min(known), max(known)) if known else (datetime.now(UTC).year,) * 2
     for name, frame in (("dim_tempo", calendar(spark, *span)), ("dim_territorio", territory_rows(stored["dim_municipio"], stored.get("fato_eleitoral_secao"), span))):
         lake.publish(frame, f"{root}/silver/{run_id}/{name}")
+        quality.layer_contract(name, spark.read.parquet(f"{root}/silver/{run_id}/{name}"))
 
     gold = marts.gold(stored["fato_eleitoral_municipio"], stored["dim_contexto_socioeconomico"], stored["dim_ibge_indicadores"], stored["dim_seade_indicadores"], stored["fato_fiscal_municipio"], stored.get("fato_eleitoral_secao"), inputs.window_cycles)
-    published, catalog = {}, f"{root}/catalog/versions"
+    published, served, catalog = {}, {}, f"{root}/catalog/versions"
     for name, frame in gold.items():
         clean, _ = quality.for_purpose(frame, "analysis", inputs.salt)
         path = f"{root}/gold/{run_id}/{name}"
         lake.publish(clean, path, ID)
-        rows = spark.read.parquet(path)
+        rows = served[name] = spark.read.parquet(path)
+        if name in quality.LAYER_COLUMNS:
+            quality.layer_contract(name, rows)
         before = lake.previous_version(spark, catalog, name, run_id)
         change = quality.drift(rows, spark.read.parquet(before), ["indice_medio_3ciclos", "ranking_medio_3ciclos"]).first().asDict() if before else {"drift_score": 0.0, "drift_alert": False}
         published[name] = {"path": path, "rows": rows.count(), **change}
         lake.register_version(spark, catalog, {"dataset_name": name, "dataset_version": run_id, "timestamp_utc": datetime.now(UTC).isoformat(), "pipeline_version": version, "path": path, "columns": rows.columns})
+    cached = marts.cache(*[served[n] for n in ("mart_municipio_eleitoral", "mart_potencial_eleitoral_social", "mart_priorizacao_territorial_sp", "mart_sensibilidade_investimento_publico")])
+    cached, _ = quality.for_purpose(cached, "serving_cache", inputs.salt)
+    lake.publish(cached, f"{root}/gold/{run_id}/query_cache", ID)
+    served["query_cache"] = spark.read.parquet(f"{root}/gold/{run_id}/query_cache")
+    tables = serve(spark, served, inputs.database) if inputs.database else []
     rates = stored["fato_eleitoral_municipio"].select("join_status").unionAll(stored["manual_review_queue"].select("join_status"))
-    manifest = {"run_id": run_id, "pipeline_version": version, "bronze": bronze, "contracts": contracts, "published": published, "quality": quality.quality_rates(rates, []).first().asDict()}
+    manifest = {"run_id": run_id, "pipeline_version": version, "bronze": bronze, "contracts": contracts, "published": published, "query_cache": {"path": f"{root}/gold/{run_id}/query_cache", "rows": served["query_cache"].count()}, "serving": tables, "quality": quality.quality_rates(rates, []).first().asDict()}
     lake.write_json(spark, f"{root}/gold/{run_id}/_manifest.json", manifest)
     return manifest

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartulary.functions import calendar, geo, text
 from cartulary.functions.numbers import min_max
 from cartulary.operators import allocation, marts, quality, relational, search, territory
+from cartulary.plans import jobs, medallion
 from cartulary.sources import lake
 from cartulary.streaming import events as streams
 
@@ -128,14 +129,38 @@ def quality_rates(spark, sf_dir):
     return quality.quality_rates(_matched(spark, sf_dir), ["s_suppkey", "id"])
 
 
-@register()
+_SPELLINGS = ["left(n, length(n) - 1)", "substr(n, 2)", "replace(n, 't', 'tt')", "replace(n, '_', ' ')", "reverse(n)", "concat('nacao', substr(n, 7))"]
+
+# the ratio of Ratcliff and Obershelp: the longest common block (the first in the name, then in the alias, of equals),
+# then the same to its left and to its right
+_FUZZY = f"""WITH RECURSIVE dim AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, lower(n_name) AS n FROM nation),
+names AS (SELECT id AS own, k, norm FROM (SELECT id, unnest([{', '.join(_SPELLINGS)}]) AS norm, unnest(range({len(_SPELLINGS)})) AS k FROM dim)),
+pairs AS (SELECT row_number() OVER () AS p, norm, id, n AS alias, length(norm) + length(n) AS total FROM (SELECT DISTINCT norm FROM names) CROSS JOIN dim),
+seg(p, a, b, m, step, side) AS (
+SELECT p, norm, alias, 0, 0, 0 FROM pairs UNION ALL
+SELECT p, CASE s.side WHEN 1 THEN left(a, i - 1) ELSE substr(a, i + k) END, CASE s.side WHEN 1 THEN left(b, j - 1) ELSE substr(b, j + k) END, CASE s.side WHEN 1 THEN k ELSE 0 END, step + 1, s.side FROM (
+SELECT p, a, b, step, side AS was, i, j, k FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM seg WHERE a <> '' AND b <> ''), LATERAL (SELECT unnest(range(1, length(b) + 1)) AS j), LATERAL (SELECT unnest(range(1, least(length(a) - i, length(b) - j) + 2)) AS k)
+WHERE substr(a, i, k) = substr(b, j, k) QUALIFY row_number() OVER (PARTITION BY p, a, b, step, was ORDER BY k DESC, i, j) = 1), (VALUES (1), (2)) s(side)),
+scored AS (SELECT p, norm, id, alias, round(CASE WHEN total = 0 THEN 1.0 ELSE 2.0 * sum(m) / total END, 6) AS score FROM pairs JOIN seg USING (p) GROUP BY p, norm, id, alias, total),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, alias, id) AS r FROM scored),
+best AS (SELECT norm, max(score) FILTER (r = 1) AS one, coalesce(max(score) FILTER (r = 2), 0) AS two, max(id) FILTER (r = 1) AS id, string_agg(id || ':' || score, ' ' ORDER BY r) FILTER (r <= 3) AS shown FROM ranked GROUP BY norm),
+exact AS (SELECT n, min(id) AS id FROM dim GROUP BY n HAVING count(*) = 1)
+SELECT own, CAST(k AS INTEGER) AS k, norm AS norm_input, coalesce(e.id, CASE WHEN one >= 0.9 AND one - two >= 0.03 THEN b.id END) AS id,
+CASE WHEN e.id IS NOT NULL THEN 'exact_name' WHEN one >= 0.9 AND one - two >= 0.03 THEN 'fuzzy_score' ELSE 'manual_review' END AS join_method,
+CAST(CASE WHEN e.id IS NOT NULL THEN 1.0 WHEN one >= 0.9 AND one - two >= 0.03 THEN one ELSE 0.0 END AS DOUBLE) AS join_confidence, CASE WHEN e.id IS NULL THEN shown END AS shown
+FROM names JOIN best b USING (norm) LEFT JOIN exact e ON e.n = norm"""
+
+
+@register(_FUZZY)
 def fuzzy_match(spark, sf_dir):
-    """Names that lost their last letter against the full names; ratios have no SQL form."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    dim = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("code"), text.normalize_text(F.col("p_name")).alias("norm_nome"))
-    aliases = dim.select("id", F.col("norm_nome").alias("alias_norm"))
-    base = names.select("p_name", text.normalize_text(F.col("p_name")).alias("n")).select("p_name", F.expr("left(n, length(n) - 1)").alias("norm_input"))
-    return territory.match(base, dim, aliases, "id", "code", "norm_nome", "norm_input")
+    """Spellings of the nations against their names, with the candidates that people see."""
+    dim, aliases = _nations(spark, sf_dir)
+    aliases = aliases.join(dim.select("id", "norm_nome"), "id").where("alias_norm = norm_nome").drop("norm_nome")
+    names = dim.select(F.col("id").alias("own"), F.col("norm_nome").alias("n")).select("own", F.posexplode(F.array(*map(F.expr, _SPELLINGS))).alias("k", "norm_input"))
+    out = territory.match(names, dim, aliases, "id", "code", "norm_nome", "norm_input")
+    seen = F.from_json("match_candidates", "array<struct<rank int, id string, alias_norm string, score double>>")
+    shown = F.array_join(F.transform(seen, lambda x: F.concat_ws(":", x["id"], x["score"].cast("string"))), " ")
+    return out.select("own", "k", "norm_input", "id", "join_method", "join_confidence", shown.alias("shown"))
 
 
 @register(
@@ -273,9 +298,9 @@ def _fact(spark, sf_dir) -> DataFrame:
 
 
 def _indicators(spark, sf_dir) -> DataFrame:
-    """Metrics of nations; those with a key divisible by 5 have none."""
+    """Metrics of nations, stored as a silver table is; those with a key divisible by 5 have none."""
     rows = table(spark, sf_dir, "customer").where("c_nationkey % 5 <> 0").groupBy(F.col("c_nationkey").cast("string").alias(marts.ID))
-    return rows.agg(F.count(F.lit(1)).alias("populacao"), F.avg("c_acctbal").alias("renda"), F.max("c_acctbal").alias("ideb"), F.min("c_acctbal").alias("internet_pct"), F.sum("c_acctbal").alias("urbanizacao"), F.max("c_custkey").cast("double").alias("ipvs"), F.min("c_custkey").cast("double").alias("emprego"), F.avg("c_custkey").alias("indice_saude"), F.count_distinct("c_mktsegment").alias("infraestrutura_urbana"), (F.max("c_custkey") % 7).alias("ruralidade"))
+    return lake.stored(rows.agg(F.count(F.lit(1)).alias("populacao"), F.avg("c_acctbal").alias("renda"), F.max("c_acctbal").alias("ideb"), F.min("c_acctbal").alias("internet_pct"), F.sum("c_acctbal").alias("urbanizacao"), F.max("c_custkey").cast("double").alias("ipvs"), F.min("c_custkey").cast("double").alias("emprego"), F.avg("c_custkey").alias("indice_saude"), F.count_distinct("c_mktsegment").alias("infraestrutura_urbana"), (F.max("c_custkey") % 7).alias("ruralidade")))
 
 
 _BASE = f"""fact AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, o_totalprice AS r, o_totalprice / 1000 AS i, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) IN ({_LAST3})),
@@ -321,11 +346,10 @@ def fiscal_window_sum(spark, sf_dir):
 def query_cache(spark, sf_dir):
     """The marts that questions are served from, joined, and cut to the columns that serving may show."""
     base, metrics = marts.electoral_base(_fact(spark, sf_dir), 3), _indicators(spark, sf_dir)
-    whole = marts.municipal(base, metrics.select(marts.ID, "ruralidade"))
-    whole = relational.left_enriched(whole, marts.potential(base, metrics).drop("janela_anos"), marts.ID, "_p")
-    whole = relational.left_enriched(whole, marts.territorial(base, metrics).drop("janela_anos"), marts.ID, "_t")
+    fiscal = base.select(marts.ID).withColumns({"transferencias": F.lit(None).cast("double"), "emendas": F.lit(None).cast("double")})
+    whole = marts.cache(marts.municipal(base, metrics.select(marts.ID, "ruralidade")), marts.potential(base, metrics), marts.territorial(base, metrics), marts.sensitivity(base, fiscal, 3))
     served, _ = quality.for_purpose(whole, "serving_cache", "salt")
-    return served.drop("indice_medio_3ciclos", "ranking_final").withColumns({"ranking_medio_3ciclos": F.round("ranking_medio_3ciclos", 4), **{c: F.round(c, 5) for c in ("potencial_eleitoral_ajustado_social", "score_priorizacao_territorial_sp")}})
+    return served.drop("indice_medio_3ciclos", "ranking_final", "sensibilidade_investimento_publico").withColumns({"ranking_medio_3ciclos": F.round("ranking_medio_3ciclos", 4), **{c: F.round(c, 5) for c in ("potencial_eleitoral_ajustado_social", "score_priorizacao_territorial_sp")}})
 
 
 # --- clusters, allocation, ranking ----------------------------------------------------------------------------------
@@ -377,9 +401,8 @@ def ranking_filter(spark, sf_dir):
 )
 def drift_score(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    last = F.broadcast(rows.agg(F.max("ano").alias("last")))
-    rows = rows.crossJoin(last)
-    out = quality.drift(rows.where("ano = last"), rows.where("ano = last - 1"), ["o_totalprice", "o_custkey"])
+    last = relational.latest_years(rows, 1)[0]
+    out = quality.drift(rows.where(F.col("ano") == last), rows.where(F.col("ano") == last - 1), ["o_totalprice", "o_custkey"])
     return out.withColumn("drift_score", F.round("drift_score", 8))
 
 
@@ -451,22 +474,12 @@ def retrieval_recall(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", quality.recall_at_k(question, F.array(F.col("o_orderpriority"), F.lit("Campinas"))).alias("recall"))
 
 
-@register(
-    "WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id < 5), d AS (SELECT q.query, vec_id AS item, list_sum(list_transform(list_zip(embedding, e), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS distance FROM embeddings, q)"
-    " SELECT query, item, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, item) AS INTEGER) AS rank FROM d QUALIFY rank <= 5"
-)
-def knn_topk(spark, sf_dir):
-    """Five queries, as the search asks them, against every row."""
-    rows = table(spark, sf_dir, "embeddings")
-    return search.nearest(rows, rows.where("vec_id < 5"), "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
-
-
 @register(
     "WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q.query, vec_id AS item, list_sum(list_transform(list_zip(embedding, e), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS distance FROM embeddings, q)"
     " SELECT query, item, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, item) AS INTEGER) AS rank FROM d QUALIFY rank <= 5"
 )
-def knn_hundredth(spark, sf_dir):
-    """Every row with an id divisible by 100 against every row; ``knn_topk`` asks the first five only."""
+def knn_topk(spark, sf_dir):
+    """Every row with an id divisible by 100 asks every row."""
     rows = table(spark, sf_dir, "embeddings")
     return search.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
@@ -485,9 +498,13 @@ def partitioned_roundtrip(spark, sf_dir):
     return rows.groupBy("uf", "ano").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@register("SELECT c_mktsegment AS dominio, string_agg(c_name, ',' ORDER BY c_name) AS assets, CAST(sum(c_custkey) AS BIGINT) AS rows_total FROM customer GROUP BY 1")
+@register("SELECT r_name AS dominio, string_agg(n_name, ',' ORDER BY n_name) AS assets, CAST(sum(n) AS BIGINT) AS rows_total FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1")
 def domain_summary(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("dominio")).agg(F.array_join(F.sort_array(F.collect_list("c_name")), ",").alias("assets"), F.sum("c_custkey").alias("rows_total"))
+    """Nations as the assets of regions, with their rows: a list is as long as a catalogue's domain, not as a table."""
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    assets = table(spark, sf_dir, "nation").join(rows, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    assets = assets.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return assets.groupBy(F.col("r_name").alias("dominio")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("assets"), F.sum("n").alias("rows_total"))
 
 
 @register("SELECT fonte, CASE WHEN fonte = 'part' THEN 'loaded_changed' ELSE 'skipped_unchanged' END AS status FROM (VALUES ('part'), ('nation'), ('region')) t(fonte)")
@@ -503,6 +520,231 @@ def stream_event_rollup(spark, sf_dir):
     return streams.hourly_rollup(spark, f"{sf_dir}/events.parquet")
 
 
+# --- views, routed questions, reports -------------------------------------------------------------------------------
+
+
+@register("SELECT r_name, count(*) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def session_views(spark, sf_dir):
+    """Tables registered as views of the session, then asked in SQL."""
+    lake.register_views(spark, {f"view_{n}": f"{sf_dir}/{n}.parquet" for n in ("region", "nation")})
+    return spark.sql("SELECT r_name, count(*) AS nations FROM view_region JOIN view_nation ON r_regionkey = n_regionkey GROUP BY 1")
+
+
+def _ask(spark, sf_dir, question: str) -> DataFrame:
+    """The query that a question is routed to, over views of the tables that questions may read."""
+    k = F.col("c_custkey")
+    towns = _towns(spark, sf_dir)
+    town = towns.select("ranking_final", "municipio", "cluster")
+    views = {
+        "municipios": towns,
+        "alocacao": towns.select("municipio", "cluster", F.col("ranking_final").alias("ranking"), (F.col("indice_final") * 10).alias("budget"), (F.col("indice_final") * 6).alias("digital"), (F.col("indice_final") * 4).alias("offline")),
+        "secoes": table(spark, sf_dir, "customer").select(F.col("c_name").alias("NM_MUNICIPIO"), (k % 7).alias("NR_ZONA"), (k % 50).alias("NR_SECAO"), (k % 300 + 100).alias("eleitores_aptos"), (k % 90).alias("votos_nominais"), (F.col("c_acctbal") + k / 1e6).alias("score_secao"), F.when(k % 3 == 0, "Alta").when(k % 3 == 1, "Média").otherwise("Baixa").alias("prioridade_secao")),
+        "mapa_tatico": town.select(F.col("municipio").alias("NM_MUNICIPIO"), "cluster", "ranking_final", F.col("ranking_final").alias("total_secoes"), (F.col("ranking_final") % 11).alias("secoes_alta"), (F.col("ranking_final") % 13).alias("secoes_media"), (F.col("ranking_final") * 1.25).alias("budget_total_mun"), (F.col("ranking_final") * 0.75).alias("custo_por_secao_alta")),
+    }
+    for name, rows in views.items():
+        rows.createOrReplaceTempView(name)
+    return spark.sql(search.routed_sql(spark, question) if " " not in question.strip() else question)
+
+
+_ROUTED = f"""WITH {_TOWNS}, municipios AS (SELECT rf AS ranking_final, municipio, cluster, idx AS indice_final FROM t),
+alocacao AS (SELECT municipio, cluster, rf AS ranking, idx * 10 AS budget, idx * 6 AS digital, idx * 4 AS "offline" FROM t),
+secoes AS (SELECT c_name AS "NM_MUNICIPIO", c_custkey % 7 AS "NR_ZONA", c_custkey % 50 AS "NR_SECAO", c_custkey % 300 + 100 AS eleitores_aptos, c_custkey % 90 AS votos_nominais, c_acctbal + c_custkey / 1e6 AS score_secao, CASE c_custkey % 3 WHEN 0 THEN 'Alta' WHEN 1 THEN 'Média' ELSE 'Baixa' END AS prioridade_secao FROM customer),
+mapa AS (SELECT municipio AS "NM_MUNICIPIO", cluster, rf AS ranking_final, rf AS total_secoes, rf % 11 AS secoes_alta, rf % 13 AS secoes_media, rf * CAST(1.25 AS DOUBLE) AS budget_total_mun, rf * CAST(0.75 AS DOUBLE) AS custo_por_secao_alta FROM t)
+"""
+
+
+@register(_ROUTED + 'SELECT municipio, cluster, round(budget, 0) AS budget, round(digital, 0) AS digital, round("offline", 0) AS "offline" FROM alocacao ORDER BY ranking LIMIT 15')
+def routed_allocation(spark, sf_dir):
+    return _ask(spark, sf_dir, "budget")
+
+
+@register(_ROUTED + 'SELECT "NM_MUNICIPIO", "NR_ZONA", "NR_SECAO", eleitores_aptos, votos_nominais, score_secao, prioridade_secao FROM secoes ORDER BY score_secao DESC LIMIT 15')
+def routed_sections(spark, sf_dir):
+    return _ask(spark, sf_dir, "campo")
+
+
+@register(_ROUTED + 'SELECT "NM_MUNICIPIO", cluster, total_secoes, secoes_alta, round(budget_total_mun, 0) AS budget, round(custo_por_secao_alta, 0) AS custo_secao FROM mapa ORDER BY ranking_final LIMIT 15')
+def routed_map(spark, sf_dir):
+    return _ask(spark, sf_dir, "custo")
+
+
+@register(_ROUTED + "SELECT cluster, count(*) AS n, round(avg(indice_final), 1) AS indice_medio FROM municipios GROUP BY 1")
+def routed_clusters(spark, sf_dir):
+    return _ask(spark, sf_dir, "diamante")
+
+
+@register(_ROUTED + "SELECT round(avg(indice_final), 1) AS media, round(max(indice_final), 1) AS maximo, count(*) AS total, CAST(sum(CASE WHEN cluster = 'Diamante' THEN 1 ELSE 0 END) AS BIGINT) AS diamante FROM municipios")
+def routed_statistics(spark, sf_dir):
+    return _ask(spark, sf_dir, "estatística")
+
+
+@register(_ROUTED + "SELECT municipio, cluster, round(indice_final, 1) AS indice, ranking_final FROM municipios ORDER BY ranking_final LIMIT 15")
+def routed_default(spark, sf_dir):
+    return _ask(spark, sf_dir, "melhores")
+
+
+@register(_ROUTED + 'SELECT "NM_MUNICIPIO" AS "município", cluster, total_secoes AS "seções", secoes_alta AS alta, secoes_media AS "média", round(budget_total_mun, 0) AS budget, round(custo_por_secao_alta, 0) AS "R_secao_alta" FROM mapa')
+def tactical_map(spark, sf_dir):
+    return _ask(spark, sf_dir, search.TACTICAL_MAP)
+
+
+@register(_ROUTED + """SELECT "NM_MUNICIPIO", "NR_ZONA", "NR_SECAO", score_secao, prioridade_secao FROM secoes WHERE prioridade_secao = 'Alta' ORDER BY score_secao DESC LIMIT 30""")
+def urgent_sections(spark, sf_dir):
+    return _ask(spark, sf_dir, search.URGENT_SECTIONS)
+
+
+@register("SELECT sum(c_custkey) AS soma, round(avg(c_acctbal), 4) AS media, min(c_acctbal) AS minimo, max(c_acctbal) AS maximo, count(*) FILTER (c_mktsegment = 'BUILDING') AS n, round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 4) AS media_grupo FROM customer")
+def metric_cards(spark, sf_dir):
+    group = F.col("c_mktsegment") == "BUILDING"
+    return table(spark, sf_dir, "customer").agg(F.sum("c_custkey").alias("soma"), F.round(F.avg("c_acctbal"), 4).alias("media"), F.min("c_acctbal").alias("minimo"), F.max("c_acctbal").alias("maximo"), F.count_if(group).alias("n"), F.round(F.avg(F.when(group, F.col("c_acctbal"))), 4).alias("media_grupo"))
+
+
+# --- loads ----------------------------------------------------------------------------------------------------------
+
+
+@register("SELECT * FROM (VALUES ('c_custkey', 0, 'bigint'), ('c_name', 1, 'string'), ('c_nationkey', 2, 'int'), ('c_acctbal', 3, 'double'), ('c_mktsegment', 4, 'string')) t(\"column\", position, type)")
+def schema_profile(spark, sf_dir):
+    return quality.schema_profile(table(spark, sf_dir, "customer"))
+
+
+def _load(spark, sf_dir) -> DataFrame:
+    rows = _orders(spark, sf_dir)
+    return rows.select(F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit(" "), F.lower("o_orderstatus"))).alias("uf"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey").cast("string")).otherwise(" ").alias("codigo_ibge"), F.when(F.col("o_orderkey") % 11 != 0, F.col("ano")).alias("ano"), (F.month("o_orderdate") % 2 + 1).alias("turno"))
+
+
+@register(
+    "WITH r AS (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS uf, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS c, CASE WHEN o_orderkey % 11 <> 0 THEN year(o_orderdate) END AS ano, month(o_orderdate) % 2 + 1 AS turno FROM orders)"
+    " SELECT count(*) AS rows, 4 AS columns, round(100.0 * (count(*) * 2 - count(uf) - count(ano)) / (4 * count(*)), 3) AS null_pct, string_agg(DISTINCT uf, ',' ORDER BY uf) AS ufs, count(DISTINCT c) AS municipios_cobertos, CAST(min(ano) AS INTEGER) AS inicio, CAST(max(ano) AS INTEGER) AS fim,"
+    " string_agg(DISTINCT CAST(ano AS VARCHAR), ',' ORDER BY CAST(ano AS VARCHAR)) AS ano, string_agg(DISTINCT CAST(turno AS VARCHAR), ',' ORDER BY CAST(turno AS VARCHAR)) AS turno, 'municipio' AS granularidade, 'ok' AS status FROM r"
+)
+def load_manifest(spark, sf_dir):
+    """What the manifest of a load says of its rows."""
+    out = quality.load_profile(_load(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("ufs", "ano", "turno")})
+
+
+@register("SELECT c_custkey AS \"c_custkey\", c_name, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS codigo FROM customer")
+def csv_roundtrip(spark, sf_dir):
+    """Written as CSV and read back by its suffix: every column a string, so that codes keep their zeros."""
+    folder = lake.scratch(spark, "csv") + ".csv"
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("codigo")).write.option("header", True).csv(folder)
+    return lake.read_any(spark, folder).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@register("SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0")
+def jsonl_tolerant(spark, sf_dir):
+    """Lines of JSON of which every fifth is cut short; readers leave these out."""
+    folder = lake.scratch(spark, "events") + ".jsonl"
+    line = F.to_json(F.struct("event_id", "event_type"))
+    cut = F.when(F.col("event_id") % 5 == 0, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
+    table(spark, sf_dir, "events").withColumn("line", line).select(cut.alias("value")).write.text(folder)
+    return lake.read_any(spark, folder).select("event_id", "event_type")
+
+
+@register("SELECT n_name AS dataset_name, 'v' || CAST(2 AS VARCHAR) AS dataset_version FROM nation")
+def latest_versions(spark, sf_dir):
+    """The newest entry of each dataset of a catalogue, which is appended to."""
+    catalog = lake.scratch(spark, "catalog") + ".jsonl"
+    for k in (0, 2, 1):
+        table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset_name"), F.lit(f"v{k}").alias("dataset_version"), F.lit(f"2024-01-0{k + 1}T00:00:00").alias("timestamp_utc")).write.mode("append").json(catalog)
+    return lake.latest_versions(spark, catalog).select("dataset_name", "dataset_version")
+
+
+# --- reconciled tables ----------------------------------------------------------------------------------------------
+
+
+def _mapping(spark, sf_dir) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(F.concat((key + 70000).cast("string"), F.lit(".0")).alias("codigo_tse"), (key + 3500000).cast("string").alias("codigo_ibge"), F.col("n_name").alias("nome_municipio"), F.concat(F.lit("Antiga Nação "), key.cast("string"), F.lit("; ;Velha "), key.cast("string")).alias("aliases"), F.lit("sp").alias("uf"), F.when(key % 4 != 0, (key - 23.5).cast("string")).otherwise("?").alias("latitude"), F.lit("-46.6").alias("longitude"))
+
+
+@register(
+    "SELECT CAST(n_nationkey + 3500000 AS VARCHAR) AS municipio_id_ibge7, CAST(n_nationkey + 70000 AS VARCHAR) AS codigo_tse, n_name AS nome_municipio, lower(n_name) AS municipio_norm, 'Antiga Nação ' || n_nationkey || ',Velha ' || n_nationkey AS aliases, 'SP' AS uf,"
+    " CASE WHEN n_nationkey % 4 <> 0 THEN CAST(n_nationkey AS DOUBLE) - 23.5 END AS latitude FROM nation"
+)
+def municipality_dimension(spark, sf_dir):
+    dim = medallion.municipality_dimension(_mapping(spark, sf_dir))
+    return dim.select(marts.ID, "codigo_tse", "nome_municipio", "municipio_norm", F.array_join("aliases", ",").alias("aliases"), "uf", "latitude")
+
+
+def _reconciled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    dim = lake.stored(medallion.municipality_dimension(_mapping(spark, sf_dir)))
+    return dim, lake.stored(territory.alias_dimension(dim, marts.ID, "nome_municipio", "aliases"))
+
+
+@register(
+    "WITH r AS (SELECT c_nationkey AS k, c_custkey AS c, c_acctbal AS v, 2020 + 2 * (c_custkey % 3) AS ano, c_custkey % 2 + 1 AS turno FROM customer WHERE c_custkey % 10 <> 9)"
+    " SELECT CAST(k + 3500000 AS VARCHAR) || ':' || ano || ':00:' || turno AS canonical_key, CAST(k + 3500000 AS VARCHAR) AS municipio_id_ibge7, 'NATION_' || k AS nome_municipio, CAST(c AS DOUBLE) AS ranking_final, v AS indice_final,"
+    " CASE WHEN c % 10 < 3 THEN 'exact_code' WHEN c % 10 < 6 THEN 'exact_name' ELSE 'historical_alias' END AS join_method FROM r QUALIFY row_number() OVER (PARTITION BY k, ano, turno ORDER BY v DESC NULLS LAST, c) = 1"
+)
+def municipality_fact(spark, sf_dir):
+    """Results of towns by code, name or old name, the best row of each key; the other rows are left for review."""
+    dim, aliases = _reconciled(spark, sf_dir)
+    c, k = F.col("c_custkey"), F.col("c_nationkey")
+    name = F.when(c % 10 < 3, "sem nome").when(c % 10 < 6, F.concat(F.lit(" Nátion_"), k)).when(c % 10 < 9, F.concat(F.lit("VELHA  "), k)).otherwise("lugar nenhum")
+    base = table(spark, sf_dir, "customer").select(name.alias("municipio"), F.when(c % 10 < 3, (k + 70000).cast("string")).alias("codigo_tse"), c.alias("ranking_final"), F.col("c_acctbal").alias("indice_final"), (c % 3 * 2 + 2020).alias("ano"), (c % 2 + 1).alias("turno"))
+    fact, _ = medallion.municipality_fact(base, dim, aliases, medallion.Inputs({}))
+    return fact.select("canonical_key", marts.ID, "nome_municipio", "ranking_final", "indice_final", "join_method")
+
+
+@register(
+    "WITH r AS (SELECT CAST(c_nationkey + 3500000 AS VARCHAR) AS id, 2024 AS ano, 1 AS turno, CASE WHEN c_custkey % 6 = 0 THEN -1 ELSE c_custkey % 7 END AS zona, c_custkey % 40 AS secao, c_acctbal AS v FROM customer)"
+    " SELECT id AS municipio_id_ibge7, ano, turno, CAST(zona AS INTEGER) AS zona, CAST(secao AS INTEGER) AS secao, max(v) AS votos_validos FROM r GROUP BY ALL"
+)
+def section_fact(spark, sf_dir):
+    dim, aliases = _reconciled(spark, sf_dir)
+    c = F.col("c_custkey")
+    sections = table(spark, sf_dir, "customer").select(F.concat(F.lit("velha "), "c_nationkey").alias("municipio"), F.when(c % 6 != 0, (c % 7).cast("string")).otherwise("x").alias("zona"), (c % 40).alias("secao"), F.col("c_acctbal").alias("votos"), F.lit("2024").alias("ano"))
+    return medallion.section_fact(sections, aliases, medallion.Inputs({})).select(marts.ID, "ano", "turno", "zona", "secao", "votos_validos")
+
+
+@register("SELECT CAST(c_nationkey + 3500000 AS VARCHAR) AS municipio_id_ibge7, CAST(min(c_custkey) AS BIGINT) AS c_custkey, '2022,2024' AS janela_anos FROM customer GROUP BY 1")
+def context_distinct(spark, sf_dir):
+    """One row of indicators for each town, with the label of the cycles."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + 3500000).alias("cod_ibge"))
+    return marts.context(medallion.context_dimension(rows).select("c_custkey", marts.ID), "2022,2024").select(marts.ID, "c_custkey", "janela_anos")
+
+
+@register(
+    f"WITH f AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, year(o_orderdate) AS y, avg(o_totalprice / 1000) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) IN ({_LAST3}) GROUP BY 1, 2)"
+    f" SELECT id AS municipio_id_ibge7, round(avg(v), 5) AS indice_medio_3ciclos, round(stddev_samp(v), 5) AS indice_std_3ciclos, count(v) AS observacoes, (SELECT string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) FROM ({_LAST3})) AS janela_anos FROM f GROUP BY 1"
+)
+def trend_from_index(spark, sf_dir):
+    """The trend where there are no sections: means of the index by year and turn."""
+    out = marts.turn_trend(_fact(spark, sf_dir), None, 3)
+    return out.withColumns({c: F.round(c, 5) for c in ("indice_medio_3ciclos", "indice_std_3ciclos")})
+
+
+@register(
+    "WITH f AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, 2000 + c_custkey % 4 AS y, c_custkey % 2 AS t, sum(c_acctbal) AS v FROM customer WHERE c_custkey % 4 > 0 GROUP BY ALL)"
+    " SELECT id AS municipio_id_ibge7, round(avg(v), 5) AS votos_validos_medio_3ciclos, round(stddev_samp(v), 5) AS votos_validos_std_3ciclos, count(v) AS observacoes, '2001,2002,2003' AS janela_anos FROM f GROUP BY 1"
+)
+def trend_from_sections(spark, sf_dir):
+    c = F.col("c_custkey")
+    sections = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias(marts.ID), (c % 4 + 2000).alias("ano"), (c % 2).alias("turno"), F.col("c_acctbal").alias("votos_validos"))
+    out = marts.turn_trend(sections, sections, 3)
+    return out.withColumns({c: F.round(c, 5) for c in ("votos_validos_medio_3ciclos", "votos_validos_std_3ciclos")})
+
+
+@register("SELECT n_nationkey, CAST(NULL AS VARCHAR) AS uf, CAST(NULL AS DOUBLE) AS nota, n_name FROM nation")
+def schema_backfill(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return relational.backfilled(rows, {"uf": "string", "nota": "double", "n_name": "string"})
+
+
+@register("SELECT 'mun-' || (c_custkey + 1) || '-' || substr(md5(c_name), 1, 8) AS id, 'Municipio: ' || c_name || '. Cluster: ' || cluster || '. Indice final: ' || printf('%.2f', CAST(idx AS DOUBLE)) || '. Ranking: ' || (c_custkey + 1) || '.' AS document, CAST(length(c_name) AS DOUBLE) AS first FROM (SELECT c_custkey, c_name, c_custkey * 7 % 100 + 0.5 AS idx, " + _CLUSTER_SQL.format(a="(c_custkey * 13 % 100)", b="(c_custkey * 29 % 100)") + " AS cluster FROM customer)")
+def vector_index(spark, sf_dir):
+    """The index of embedded documents as a run rebuilds it, here with the length of the name as the only feature."""
+    towns, index = lake.scratch(spark, "towns"), lake.scratch(spark, "index")
+    lake.publish(_towns(spark, sf_dir), towns)
+
+    def embedder():
+        return lambda texts: [[float(t.index(". Cluster") - len("Municipio: "))] for t in texts]
+
+    jobs.reindex(spark, towns, index, embedder)
+    return spark.read.parquet(f"{index}/municipios_v2").select("id", "document", F.col("embedding")[0].cast("double").alias("first"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities of nations over the last three years, best first."""
     base, metrics = marts.electoral_base(_fact(spark, sf_dir), 3), _indicators(spark, sf_dir)

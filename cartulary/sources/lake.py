@@ -5,12 +5,16 @@ from __future__ import annotations
 import fnmatch
 import json
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulary.session import shared_folder
 
+#: Bytes of a file that is hashed whole, as one value of a row.
+HASHED_BYTES = 1 << 30
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
@@ -88,12 +92,61 @@ def serve(df: DataFrame, table: str, key: str, buckets: int = 16) -> None:
 
 
 def content_hash(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(fonte, hash) of a source from the hashes of its files, whatever their number."""
+    """(fonte, hash) of a source from the hashes of its files, whatever their number.
+
+    A file larger than ``HASHED_BYTES``, which no row can hold, is told by its name, size and time instead of its bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    each = files.select(F.sha2("content", 256).alias("h"), F.element_at(F.split("path", "/"), -1).alias("n"))
+    name = F.element_at(F.split("path", "/"), -1)
+    small = files.where(F.col("length") <= HASHED_BYTES).select(F.sha2("content", 256).alias("h"), name.alias("n"))
+    stamp = F.concat_ws(":", F.col("length").cast("string"), F.unix_millis("modificationTime").cast("string"))
+    each = small.union(files.where(F.col("length") > HASHED_BYTES).select(stamp.alias("h"), name.alias("n")))
     return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "n", "h"))), ","), 256).alias("hash")).select(F.lit(source).alias("fonte"), "hash")
 
 
+def copy_raw(spark: SparkSession, source: str, target: str) -> dict:
+    """Copies a source as it is, by the file system, and says where to and when the source was last changed."""
+    (fs, path), (other, copy) = _fs(spark, source), _fs(spark, target)
+    if not fs.exists(path):
+        raise FileNotFoundError(source)
+    changed = fs.getFileStatus(path).getModificationTime()
+    other.delete(copy, True)
+    other.mkdirs(copy.getParent())
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path, other, copy, False, True, spark._jsc.hadoopConfiguration())
+    return {"path": target, "source_last_modified_utc": datetime.fromtimestamp(changed / 1000, UTC).isoformat()}
+
+
+def inside(spark: SparkSession, path: str, roots: list[str]) -> bool:
+    """Whether a path is one of some folders or in one of them, links and ``..`` followed by name only."""
+    place = lambda p: _fs(spark, p)[0].makeQualified(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.org.apache.hadoop.fs.Path(p).toUri().normalize())).toString()
+    return any(place(path) == place(r) or place(path).startswith(place(r).rstrip("/") + "/") for r in roots)
+
+
+def save_report(df: DataFrame, name: str, folders: list[str]) -> str:
+    """Saves a report in the first of some folders that can be written to, and says where."""
+    error: Exception | None = None
+    for folder in folders:
+        try:
+            publish(df, f"{folder}/{name}")
+            return f"{folder}/{name}"
+        except Exception as failed:  # whatever keeps one folder from being written, the next is tried
+            error = failed
+    raise error or ValueError("no folder to save to")
+
+
+def find_report(spark: SparkSession, name: str, folders: list[str]) -> str | None:
+    """The report in the first folder that has it."""
+    return next((f"{f}/{name}" for f in folders if _fs(spark, f"{f}/{name}")[0].exists(_fs(spark, f"{f}/{name}")[1])), None)
+
+
+def register_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
+    """Temporary views of the session by name, of the paths that exist; the names that were registered."""
+    there = [n for n, p in paths.items() if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
+    for name in there:
+        read_any(spark, paths[name]).createOrReplaceTempView(name)
+    return there
+
+
 def incremental_status(found: DataFrame, state: DataFrame) -> DataFrame:
     """``skipped_unchanged`` for sources whose hash is the state's, else ``loaded_changed``."""
     known = state.select("fonte", F.col("hash").alias("__old"))

@@ -36,7 +36,7 @@ def done(spark, tmp_path_factory):
         (root / f"{name}.csv").write_text(said)
         paths[name] = str(root / f"{name}.csv")
     out = str(root / "out")
-    return out, paths, run(spark, Inputs(paths), out, "v1")
+    return out, paths, run(spark, Inputs(paths, database="served"), out, "v1")
 
 
 def mart(spark, done, name):
@@ -72,6 +72,22 @@ def test_silver(spark, done):
     assert done[2]["quality"]["join_success"] == pytest.approx(7 / 8)
 
 
+def test_serving_and_manifests(spark, done):
+    cached = spark.read.parquet(done[2]["query_cache"]["path"])
+    assert cached.count() == 2 and set(cached.columns) <= set(quality.SERVED) and {"potencial_eleitoral_ajustado_social", "score_priorizacao_territorial_sp", "sensibilidade_investimento_publico"} <= set(cached.columns)
+    assert {t["table"]: t["rows"] for t in done[2]["serving"]}["served.query_cache"] == 2
+    assert spark.table("served.mart_municipio_eleitoral").where("municipio_id_ibge7 = '3550308'").count() == 1
+    said = lake.read_json(spark, done[2]["bronze"]["transparencia_fiscal"]["manifest"])
+    assert said["schema_detectado"] == {c: "string" for c in ("codigo_ibge", "ano", "transferencias", "emendas")}
+    assert said["cobertura_territorial"] == {"granularidade": "municipio", "rows": 6, "municipios_cobertos": 2}
+    assert said["periodo_referencia"] == {"colunas": ["ano"], "ano": ["2022", "2024", "2026"], "inicio": 2022, "fim": 2026}
+    assert said["qualidade_carga"] == {"status": "ok", "rows": 6, "columns": 4, "null_pct": 0.0, "null_critical": 0.0}
+    raw = done[2]["bronze"]["base_eleitoral"]
+    with open(raw["path"]) as f:
+        assert f.read() == BASE
+    assert raw["source_last_modified_utc"].startswith("20")
+
+
 def test_second_run_skips_what_is_unchanged(spark, done):
     out, paths, first = done
     with open(paths["contexto_socio"], "a") as f:

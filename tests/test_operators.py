@@ -173,7 +173,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
 def test_every_hundredth_vector_asks(spark):
     from cartulary.plans.queries import QUERIES
 
-    asked = QUERIES["knn_hundredth"](spark, "/root/testdata/sf0.1")
+    asked = QUERIES["knn_topk"](spark, "/root/testdata/sf0.1")
     assert asked.count() == 5 * spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 100 = 0").count() == 100
 
 
