@@ -1,8 +1,8 @@
 """Matching free-text names to a dimension in tiers: code, name, alias, similarity, else manual review.
 
 The exact tiers are equi-joins with the dimension; only rows that they leave go on, as distinct names. The similarity
-tier scores these against the aliases; a native bound on the ratio, from lengths, can spare the Arrow function pairs that
-can neither be accepted nor be a runner-up within the gap.
+tier scores these against every alias if people are to see the best candidates of each, else only against those that share
+enough pairs of neighbouring characters to be accepted or to be a runner-up within the gap.
 """
 
 from __future__ import annotations
@@ -31,17 +31,41 @@ def _lookup(rows: DataFrame, key: str, entity: str, tier: str) -> DataFrame:
     return found.select(F.col(key).alias(f"__key_{tier}"), F.when(F.col("__low") == F.col("__high"), F.col("__low")).alias(f"__id_{tier}"), (F.col("__low") != F.col("__high")).alias(f"__many_{tier}"))
 
 
+def _grams(column: str):
+    """The pairs of neighbouring characters of a text, each with the number of equal ones before it."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(2)))
+    return F.transform(each, lambda g, i: F.concat(g, F.size(F.filter(F.slice(each, F.lit(1), i), lambda x: x == g)).cast("string")))
+
+
+def _sharing(names: DataFrame, others: DataFrame, entity: str, norm: str, least: float) -> DataFrame:
+    """The pairs that can reach a ratio of ``least`` or more, by an equi-join on pairs of neighbouring characters.
+
+    A ratio r of texts of T characters in all has r T / 2 equal characters in at most (1 - r) T + 1 blocks, so the texts
+    share at least (1.5 r - 1) T - 1 pairs of neighbours. Texts of three characters or fewer are compared as they are.
+    """
+    a = names.select(norm, F.length(norm).alias("__a"), F.explode(_grams(norm)).alias("__g"))
+    b = others.select(entity, "alias_norm", F.length("alias_norm").alias("__b"), F.explode(_grams("alias_norm")).alias("__g"))
+    total = F.col("__a") + F.col("__b")
+    near = a.join(b, "__g").groupBy(norm, entity, "alias_norm", "__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    near = near.where((total > 3) & (F.col("__n") >= (1.5 * least - 1) * total - 1 - 1e-9)).select(norm, entity, "alias_norm")
+    short = names.where(F.length(norm) <= 3).crossJoin(others.where(F.length("alias_norm") <= 3)).where(F.length(norm) + F.length("alias_norm") <= 3)
+    return near.union(short.select(norm, entity, "alias_norm"))
+
+
 def fuzzy_candidates(names: DataFrame, aliases: DataFrame, entity: str, norm: str = "norm", best_only: bool = True, least_bound: float = 0.0) -> DataFrame:
     """(norm, rank, entity, alias_norm, score) of the best ``CANDIDATES`` of each name.
 
     Ranked by score and then alias; ``best_only`` takes the best alias of each entity, so that two aliases of one entity
-    don't compete. Pairs whose lengths hold the ratio below ``least_bound`` aren't scored; up to the threshold less the
-    gap this changes no match, only which candidates people see.
+    don't compete. With a ``least_bound`` above 0.7 only pairs that can reach it are scored, found by what they share; up
+    to the threshold less the gap this changes no match, only which candidates people see.
     """
-    others = aliases.select(entity, "alias_norm").distinct()
-    if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        others = F.broadcast(others)
-    pairs = names.select(norm).distinct().crossJoin(others)
+    names, others = names.select(norm).distinct(), aliases.select(entity, "alias_norm").distinct()
+    if least_bound > 0.7:
+        pairs = _sharing(names, others, entity, norm, least_bound)
+    else:
+        if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            others = F.broadcast(others)
+        pairs = names.crossJoin(others)
     pairs = pairs.where(similarity_bound(F.col(norm), F.col("alias_norm")) >= least_bound)
     scored = pairs.withColumn("score", similarity(F.col(norm), F.col("alias_norm")))
     order = [F.desc("score"), F.asc("alias_norm"), F.asc(entity)]
@@ -51,11 +75,12 @@ def fuzzy_candidates(names: DataFrame, aliases: DataFrame, entity: str, norm: st
     return ranked.where(F.col("rank") <= CANDIDATES).select(norm, "rank", entity, "alias_norm", "score")
 
 
-def match(base: DataFrame, dim: DataFrame, aliases: DataFrame, entity: str, code: str, name_norm: str, input_norm: str, input_code: str | None = None, fuzzy: bool = True, threshold: float = THRESHOLD, gap: float = GAP) -> DataFrame:
+def match(base: DataFrame, dim: DataFrame, aliases: DataFrame, entity: str, code: str, name_norm: str, input_norm: str, input_code: str | None = None, fuzzy: bool = True, threshold: float = THRESHOLD, gap: float = GAP, shown: bool = True) -> DataFrame:
     """``base`` with the matched entity, ``join_method``, ``join_confidence``, ``needs_review``, ``join_status`` and
     ``match_candidates`` (JSON of the candidates of the similarity tier).
 
-    A key that several entities share doesn't match in its tier.
+    A key that several entities share doesn't match in its tier. Without ``shown`` the candidates are only those near
+    enough to decide, which spares all other pairs of names and aliases; the matches are the same.
     """
     rows = base
     if input_code:
@@ -67,7 +92,7 @@ def match(base: DataFrame, dim: DataFrame, aliases: DataFrame, entity: str, code
     exact = F.coalesce("__id_code", "__id_name", "__id_alias")
     if fuzzy:
         left = rows.where(exact.isNull() & F.col(input_norm).isNotNull()).select(F.col(input_norm).alias("norm"))
-        top = fuzzy_candidates(left, aliases, entity)
+        top = fuzzy_candidates(left, aliases, entity, least_bound=0.0 if shown else threshold - gap)
         best = top.groupBy("norm").agg(
             F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("__best"),
             F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("__second"),

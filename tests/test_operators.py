@@ -60,6 +60,21 @@ def test_tiers(spark):
 TOWNS = [(1, "A", "Diamante", 95.0, 70.0, 100000.0), (2, "B", "Alavanca", 85.0, 45.0, 80000.0), (3, "C", "Descarte", 50.0, 20.0, 50000.0)]
 
 
+def test_unseen_candidates_change_no_match(spark):
+    import random
+
+    from cartulary.operators import territory
+
+    rng = random.Random(8)
+    towns = sorted({"".join(rng.choices("abcde ", k=rng.randint(1, 14))).strip() or "x" for _ in range(150)})
+    dim = spark.createDataFrame([(str(k), f"c{k}", t) for k, t in enumerate(towns)], "id string, code string, norm_nome string")
+    aliases = dim.select("id", dim.norm_nome.alias("alias_norm"))
+    spoilt = [t[: (k := rng.randrange(len(t)))] + rng.choice(["", "z", "ab"]) + t[k + rng.randint(0, 1) :] for t in rng.choices(towns, k=300)]
+    base = spark.createDataFrame([(k, t) for k, t in enumerate(spoilt)], "row int, norm_input string")
+    found = [{r.row: (r.id, r.join_method, r.join_confidence) for r in territory.match(base, dim, aliases, "id", "code", "norm_nome", "norm_input", shown=shown).collect()} for shown in (True, False)]
+    assert found[0] == found[1] and sum(m == "fuzzy_score" for _, m, _ in found[0].values()) > 20
+
+
 def test_allocation(spark):
     rows = spark.createDataFrame(TOWNS, "ranking_final long, municipio string, cluster string, indice_final double, PD_qt double, pop_censo2022 double")
     a, b = allocation.allocate(rows, 100_000, "deputado_federal", 3, 0.5).orderBy("ranking").collect()
