@@ -179,10 +179,10 @@ def fit(x: np.ndarray, y: np.ndarray, n_bins: int = 32, rounds: int = 120, pair_
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 12000) -> Additive:
     """Fits the model on about ``sample_docs`` labelled documents at most."""
-    rows = training_rows(docs, labels, "quality", sample_docs)
-    parts = [features(column) for column in batches(rows)]
+    known, texts = training_rows(docs, labels, "quality", sample_docs)
+    parts = [features(column) for column in batches(texts)]
     x = np.concatenate(parts) if parts else features(pa.array([""]))[:0]
-    return fit(x, np.array([y for y, _ in rows], float))
+    return fit(x, known.astype(float))
 
 
 def score(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:

@@ -44,6 +44,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         row = end
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make()`` gives, kept by this worker for its next tasks until one of another operator runs in it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    _KEPT["used"] = True
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what an operator before kept, unless it was asked for since."""
+    if not _KEPT.pop("used", False):
+        _KEPT.clear()
+
+
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """Appends columns computed from ``text`` in Arrow slices, keeping every row and other column.
 
@@ -57,6 +75,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make:
 
     def run(batches):
         work = make()
+        forget()
         for batch in batches:
             for part in slices(batch, text):
                 columns = [part.column(part.schema.get_field_index(c)) for c in names]
@@ -70,17 +89,19 @@ def bounded_sample(df: DataFrame, key: str, text: str, most: int, most_bytes: in
 
     Rows are drawn by a 64-bit hash of key and text: the smallest ones, so that rows with one id, or none, are drawn
     apart. Equal keys with equal texts are one row. A threshold from the number of rows lets about a quarter more rows
-    than needed pass, which are written once; it is raised until a row passes. So the sample is never empty unless the
-    table is, or every text is larger than the whole bound; such texts are left out. ``df`` keeps its columns.
+    than needed pass, which are written once; it is raised while less than half of them do, as among many copies. So the
+    sample is never empty unless the table is, or every text is larger than the whole bound; such texts are left out.
+    ``df`` keeps its columns.
     """
     count, rows = df.count(), df.withColumn(DRAW, F.xxhash64(key, text, F.lit("sample")))
     share = (1.25 * most + 100) / max(1, count)
     while True:
         some = rows if share >= 1 else rows.where(F.col(DRAW) < int((share - 0.5) * 2**64))
         some = stored(some.dropDuplicates([DRAW]))
-        if share >= 1 or not some.isEmpty():
+        found = 0 if some.isEmpty() else some.count()
+        if share >= 1 or found >= most // 2:
             break
-        share *= 1000
+        share *= min(1000, 2 * most / max(1, found))
         discard(some)
     # numbers and sizes of a bounded number of rows: the last one that fits
     fits = F.coalesce(F.octet_length(text), F.lit(0)) <= most_bytes

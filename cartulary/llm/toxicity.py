@@ -75,11 +75,11 @@ def combine(p: np.ndarray, of_text: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(of_text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
-def telling(rows: list[tuple[int, str]], most: int, least_docs: int) -> np.ndarray:
+def telling(labels: np.ndarray, texts: pa.Array, most: int, least_docs: int) -> np.ndarray:
     """Which buckets occur in positive documents clearly more often than chance would have it: ``most`` of them."""
-    labels, done = np.array([y for y, _ in rows]), 0
+    done = 0
     positive, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for column in batches(rows):
+    for column in batches(texts):
         words, sentence, of_text, _, _ = sentences(column)
         key = np.unique(of_text[sentence] * BUCKETS + words)
         every += np.bincount(key % BUCKETS, minlength=BUCKETS)
@@ -91,16 +91,16 @@ def telling(rows: list[tuple[int, str]], most: int, least_docs: int) -> np.ndarr
     return order[z[order] >= 4]
 
 
-def fit(rows: list[tuple[int, str]], steps: int = 250, rate: float = 0.05, decay: float = 1e-4, least_docs: int = 6, most_features: int = 4096) -> NoisyOr:
-    """Learns from (label, text) rows by full-batch Adam on the documents' log loss."""
+def fit(labels: np.ndarray, texts: pa.Array, steps: int = 250, rate: float = 0.05, decay: float = 1e-4, least_docs: int = 6, most_features: int = 4096) -> NoisyOr:
+    """Learns from labelled texts by full-batch Adam on the documents' log loss."""
     model = NoisyOr(np.zeros(BUCKETS), -30.0)
-    used = telling(rows, most_features, least_docs)
+    used = telling(labels, texts, most_features, least_docs)
     if not len(used):
         return model
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     words, of_sentence, of_doc, n_sentences, n_docs = [], [], [], 0, 0
-    for column in batches(rows):
+    for column in batches(texts):
         w, s, t, _, _ = sentences(column)
         kept = place[w] >= 0
         words.append(place[w[kept]])
@@ -109,7 +109,7 @@ def fit(rows: list[tuple[int, str]], steps: int = 250, rate: float = 0.05, decay
         n_sentences += len(t)
         n_docs += len(column)
     words, of_sentence, of_doc = map(np.concatenate, (words, of_sentence, of_doc))
-    labels = np.array([y for y, _ in rows], float)
+    labels = labels.astype(float)
     b = np.log(min(max(labels.mean(), 1e-3), 0.5) / max(1.0, n_sentences / n_docs))
     w = np.zeros(len(used))
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: NoisyOr, text: str = "text", offending: float
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 12000) -> NoisyOr:
     """Fits the model on at most ``sample_docs`` labelled documents, and ``labelled.MOST_BYTES`` of text."""
-    return fit(training_rows(docs, labels, "toxic", sample_docs))
+    return fit(*training_rows(docs, labels, "toxic", sample_docs))
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:

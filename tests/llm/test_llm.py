@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 
@@ -482,7 +483,7 @@ def test_op8_and_op10_read_no_held_out_label(spark):
 
 def test_op8_finds_the_sentence(spark):
     rows = [(1, "A calm day. You are a scoundrel today. Fine.")] * 30 + [(0, "A calm day. You are a friend today. Fine.")] * 60
-    model = toxicity.fit(rows)
+    model = toxicity.fit(np.array([y for y, _ in rows]), pa.array([t for _, t in rows]))
     text = "All is well! Só vejo um scoundrel aqui. Bye."
     r = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     a, b = map(int, r.worst_sentence.split(":"))
@@ -556,4 +557,4 @@ def test_empty_tables(spark, empty):
     for op in (secret_scan.op1, suffix_dedup.op2, fingerprints.op3, mixing.op5, piece_codec.op6, language_id.op7, minhash.op9):
         assert op(empty).count() == 0
     assert embedding_dedup.op4(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
-    assert labelled.training_rows(empty, spark.createDataFrame([], "doc_id long, quality int"), "quality", 10) == []
+    assert [len(x) for x in labelled.training_rows(empty, spark.createDataFrame([], "doc_id long, quality int"), "quality", 10)] == [0, 0]
