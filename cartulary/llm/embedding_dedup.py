@@ -148,7 +148,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     cells = posted.select("id", F.posexplode("keys").alias("t", "key"))
     cells = cells.join(cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key")
     payload = posted.join(classes, "id")
-    dealt = tiles.tiled(cells.join(payload, "id").select("key", "size", "id", "t", "copies", "keys", "label", "embedding"), "key", "size", "id")
+    dealt = tiles.dealt(cells.join(payload, "id").select("key", "size", "id", "t", "copies", "keys", "label", "embedding"), "key", "size", "id")
+    dealt = tiles.gathered(dealt, "key")
     kind = classes.schema["id"].dataType
     found = stored(dealt.mapInArrow(_tile(cosine), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())])))
 

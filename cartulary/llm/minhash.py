@@ -8,8 +8,8 @@ full under its first common coordinate and skipped under the others. Links are c
 
 Documents with equal sets are one class throughout. In each posting list every member is first tried against the list's
 smallest id, which gives as many pairs as postings and joins groups of copies, however large; then only pairs of
-different components are left to look at. Lists that are still longer than a tile are split by bands of set sizes and a
-second common coordinate, and all are compared in tiles of bounded size, as arrays: a first round finds the documents with candidates, a second confirms them on their full sets within the tile, and only a
+different components are left to look at. Of lists longer than a tile the largest component is set against the rest, and
+the rest is split by bands of set sizes. All are compared in tiles of bounded size, as arrays: a first round finds the documents with candidates, a second confirms them on their full sets within the tile, and only a
 spanning forest of the links leaves it. Components of all links follow.
 
 Null and empty texts, and null ids, link with nothing: their component is their own id and they are kept. Repeated ids
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm import tiles
 from cartulary.llm.graph import components
-from cartulary.llm.rows import mix, runs, slices, span_hashes, text_view
+from cartulary.llm.rows import forget, mix, runs, slices, span_hashes, text_view
 from cartulary.sources.lake import discard, stored
 
 COORDINATES, MATCHES = 32, 14
@@ -69,37 +69,43 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(column)))))
 
 
-def _signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of 32-bit minima for each set that isn't empty."""
+def _minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of 64-bit minima, one for each coordinate, for each set that isn't empty."""
     starts = at[:-1][np.diff(at) > 0]
-    out = np.empty((len(starts), COORDINATES), np.uint32)
+    out = np.empty((len(starts), COORDINATES), np.uint64)
     for c in range(COORDINATES):
-        out[:, c] = np.minimum.reduceat(((hashes * _SCALE[c] + _SHIFT[c]) >> np.uint64(32)).astype(np.uint32), starts)
+        out[:, c] = np.minimum.reduceat(hashes * _SCALE[c] + _SHIFT[c], starts)
     return out
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(id, n_shingles, two hashes of the set, signature) of each row; null hashes and signature for an empty set."""
+    """(id, n_shingles, two hashes of the set, signature, keys) of each row; only id and n_shingles for an empty set.
+
+    The signature has the upper 32 bits of the minima, to count matches. The keys, of the first PREFIX coordinates, are
+    whole: unlike sets then share one by chance about as rarely as 64-bit hashes are equal, at any size of the corpus.
+    """
 
     def run(batches):
+        forget()
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, at = shingle_sets(part.column(1), n)
                 some = np.diff(at) > 0
                 starts = at[:-1][some]
                 sums = [np.zeros(len(some), np.uint64) for _ in range(2)]
-                rows = np.empty((0, COORDINATES), np.uint32)
+                minima = np.empty((0, COORDINATES), np.uint64)
                 if len(starts):
                     sums[0][some] = np.add.reduceat(mix(hashes), starts)
                     sums[1][some] = np.add.reduceat(mix(hashes ^ _SHIFT[0]), starts)
-                    rows = _signatures(hashes, at)
+                    minima = _minima(hashes, at)
                 signed = np.full(len(some), None, object)
-                signed[some] = [row.tobytes() for row in rows]
+                signed[some] = [row.tobytes() for row in (minima >> np.uint64(32)).astype(np.uint32)]
                 sums = [pa.array(s.view(np.int64), mask=~some) for s in sums]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), *sums, pa.array(signed, pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "signature"])
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some))) * PREFIX, pa.int32()), pa.array(np.ascontiguousarray(minima[:, :PREFIX]).view(np.int64).ravel()), mask=pa.array(~some))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), *sums, pa.array(signed, pa.binary()), keys], names=["id", "n_shingles", "set_a", "set_b", "signature", "keys"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, ids: DataFrame) -> DataFrame:
@@ -155,28 +161,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def postings(classes: DataFrame, *columns: str) -> DataFrame:
+    """(key, c, columns) of each class under each of its first PREFIX coordinates ``c`` and its value there."""
+    each = classes.select(*columns, F.posexplode("keys").alias("c", "v"))
+    return each.select(F.xxhash64("c", "v").alias("key"), "c", *columns)
+
+
+def _size():
+    """Rows of a list, or more if their sets are long."""
+    return F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / SHINGLES_A_ROW))
+
+
 def listed(rows: DataFrame) -> DataFrame:
-    """The rows of the lists (``key``) with several components, with the list's ``size``: rows, or more if sets are long."""
-    size = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / SHINGLES_A_ROW))
-    lists = rows.groupBy("key").agg(size.alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    """The rows of the lists (``key``) with several components, with the list's ``size``."""
+    lists = rows.groupBy("key").agg(_size().alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     return rows.join(lists.select("key", "size"), "key")
 
 
-def divided(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The rows of all lists to compare: lists longer than a tile are split, first by set sizes, then by a second coordinate.
+def divided(posted: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows of all lists, dealt to tiles; the stored tables that they are made from).
 
-    Sets whose sizes are too far apart to be similar share no band of sizes or its neighbour. A pair with MATCHES common
-    coordinates, the first of which is c, has a second among those up to PREFIX.
+    In a list longer than a tile, the largest component is set against the other rows only, in as many tiles as these
+    need. If the others are many, they are compared by bands of set sizes: sets of a band (``above`` is false) among
+    themselves and with those of the band below (``above`` is true), as sets farther apart can't be similar.
     """
-    columns = ["key", "id", "n", "c", "component"]
-    first = listed(posted.select(*columns))
+    columns = ["key", "c", "id", "n", "component"]
+    rows = stored(listed(posted.select(*columns)))
+    long = rows.where(F.col("size") > tiles.TILE).drop("size")
+    owners = long.groupBy("key", "component").agg(_size().alias("own"))
+    owners = owners.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("largest"), F.max("own").alias("ours"), (F.sum("own") - F.max("own")).alias("theirs"))
+    long = stored(long.join(owners, "key").withColumn("first", F.col("component") == F.col("largest")).drop("largest"))
+    between = tiles.dealt_between(long, "key", "first", ("ours", "theirs"), "id").withColumn("above", F.lit(False))
+
+    rest = listed(long.where("not first").select(F.xxhash64("key", F.lit("rest")).alias("key"), *columns[1:]))
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("long")
-    second = first.where(F.col("size") > tiles.TILE).select("*", F.explode(F.array(band, band + 1)).alias("band"))
-    second = listed(second.withColumn("key", F.xxhash64("key", "band")).select(*columns))
-    later = F.transform(F.sequence(F.col("c") + 1, F.lit(PREFIX)), lambda d: F.xxhash64("key", d, F.substring("signature", 4 * d + 1, F.lit(4))))
-    third = second.where(F.col("size") > tiles.TILE).join(classes.select("id", "signature"), "id").select("*", F.explode(later).alias("finer"))
-    third = listed(third.withColumn("key", F.col("finer")).select(*columns))
-    return first.where(F.col("size") <= tiles.TILE).union(second.where(F.col("size") <= tiles.TILE).select(first.columns)).union(third.select(first.columns))
+    bands = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("above")), F.struct((band + 1).alias("band"), F.lit(True).alias("above"))))
+    banded = rest.where(F.col("size") > tiles.TILE).select("*", bands.alias("b"))
+    banded = listed(banded.select(F.xxhash64("key", "b.band").alias("key"), *columns[1:], "b.above"))
+    few = [x.where(F.col("size") <= tiles.TILE).withColumn("above", F.lit(False)) for x in (rows, rest)]
+    every = few[0].unionByName(few[1]).unionByName(banded)
+    return tiles.dealt(every, "key", "size", "id").unionByName(between), [rows, long]
 
 
 def _candidates(percent: int):
@@ -186,14 +210,14 @@ def _candidates(percent: int):
     """
 
     def find(table: pa.Table) -> np.ndarray:
-        side, comps, sizes = (table.column(c).to_numpy() for c in ("side", "component", "n"))
+        side, comps, sizes, above = (table.column(c).to_numpy() for c in ("side", "component", "n", "above"))
         left, right, some = np.flatnonzero(side != 2), np.flatnonzero(side != 1), np.zeros(len(side), bool)
         if len(np.unique(comps)) > 1:
             signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             before = int(table.column("c")[0].as_py())
             for at in range(0, len(left), 128):
                 part = left[at : at + 128][:, None]
-                i, j = np.nonzero((comps[part] != comps[right]) & (100 * np.minimum(sizes[part], sizes[right]) >= percent * np.maximum(sizes[part], sizes[right])))
+                i, j = np.nonzero((comps[part] != comps[right]) & ~(above[part] & above[right]) & (100 * np.minimum(sizes[part], sizes[right]) >= percent * np.maximum(sizes[part], sizes[right])))
                 i, j = left[at + i], right[j]
                 for k in range(0, len(i), 1 << 16):
                     p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
@@ -231,8 +255,10 @@ def _linked(percent: int):
         for table in tiles.groups(batches):
             side, ids, comps = (table.column(c).to_numpy() for c in ("side", "id", "component"))
             left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-            sets = [np.asarray(x, np.int64) for x in table.column("shingles").to_pylist()]
-            size = np.array([len(s) for s in sets])
+            shingles = table.column("shingles").combine_chunks()
+            shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
+            size = shingles.value_lengths().to_numpy()
+            sets = np.split(shingles.flatten().to_numpy(), np.cumsum(size)[:-1])
             both = common(sets, left, right)
             good = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (comps[left][:, None] != comps[right])
             near = np.zeros((len(sets), len(sets)), bool)
@@ -249,31 +275,29 @@ def links(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tupl
     signed = stored(signatures(docs, doc_id, text, n))
     tasks = 1 + signed.count() // DOCS_A_TASK  # small tables go to few files, those of more work for a row to more
     some = signed.where("id is not null and n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = some.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
     classes = stored(classes.coalesce(tasks))
 
-    coordinates = F.array(*[F.struct(F.lit(c).alias("c"), F.substring("signature", 4 * c + 1, 4).alias("v")) for c in range(PREFIX)])
-    posted = classes.select("id", "n", F.explode(coordinates).alias("p")).select("id", "n", F.xxhash64("p.c", "p.v").alias("key"), F.col("p.c").alias("c"))
+    posted = postings(classes, "id")
     lists = posted.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    posted = stored(posted.join(lists, "key").coalesce(tasks))
-
     one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
-    tried = posted.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(two, "b")
+    tried = posted.join(lists, "key").where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(two, "b")
     tried = tried.join(one, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     matches = sum((F.substring("s_a", 4 * c + 1, 4) == F.substring("s_b", 4 * c + 1, 4)).cast("int") for c in range(COORDINATES))
     tried = stored(tried.where(matches >= MATCHES).select("a", "b").coalesce(tasks))
     found = stored(confirmed(tried, full_sets(docs, doc_id, text, n, tried.select(F.col("a").alias("id")).union(tried.select("b"))), percent).coalesce(8 * tasks))
     grouped = components(found, "a", "b")
 
-    joined = stored(posted.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).coalesce(tasks))
-    posted_again = divided(joined, classes, percent).join(classes.select("id", "signature"), "id")
-    dealt = tiles.tiled(posted_again.select("key", "size", "id", "component", "n", "signature", "c"), "key", "size", "id")
+    owned = classes.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows, used = divided(postings(owned, "id", "n", "component"), percent)
+    rows = rows.join(classes.select("id", "signature"), "id")
+    dealt = tiles.gathered(rows.select("key", "i", "j", "side", "id", "component", "n", "above", "signature", "c"), "key")
     dealt = stored(dealt.mapInArrow(_candidates(percent), dealt.schema).coalesce(8 * tasks))
     some = dealt.select("key", "i", "j", "side", "id", "component").join(full_sets(docs, doc_id, text, n, dealt.select("id")), "id")
-    some = some.select("key", "i", "j", "side", "id", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    some = tiles.gathered(some.select("key", "i", "j", "side", "id", "component", "shingles"), "key")
     every = stored(found.union(some.mapInArrow(_linked(percent), "a long, b long")).distinct().coalesce(tasks))
     linked = components(every, "a", "b")
-    discard(posted, tried, found, grouped, joined, dealt, every)
+    discard(tried, found, grouped, *used, dealt, every)
     return signed, classes, linked
 
 
@@ -282,7 +306,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed, classes, linked = links(docs, doc_id, text, words, percent)
     classes = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     classes = classes.where("copies > 1 or component <> id").select("set_a", "set_b", "component")
-    rows = signed.drop("signature").join(classes, ["set_a", "set_b"], "left")
+    rows = signed.drop("signature", "keys").join(classes, ["set_a", "set_b"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
