@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartulary.sources.lake import stored
+
 # Weights of the sources, repeating.
 WEIGHTS = (5, 2, 1)
 ROWS_A_BUCKET, BUCKETS_A_STRETCH, ROWS_A_TASK = 512, 4096, 50_000
@@ -139,7 +141,8 @@ def _mix(docs: DataFrame, doc_id: str, text: str, source: str, depth: int, block
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     rows = rows.select("*", words(text).alias("size"), key.alias("key"), F.pmod(draw(0), F.lit(n_buckets)).alias("bucket"), draw(1).alias("draw"))
 
-    groups = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    # read by the sources, the stretches and the buckets: stored, so that the texts are counted once for all of them
+    groups = stored(rows.groupBy("key", "bucket").agg(F.sum("size").alias("words")))
     sources = groups.groupBy("key").agg(F.sum("words").alias("source_size"))
     sources = sources.select("*", (F.col("key") == "n").alias("is_null"), F.expr("substr(key, 2)").alias("name"))
     sources = targets(sources, most_repeats).withColumn("quota", F.round("target").cast("long"))
