@@ -7,27 +7,35 @@ expresses, it is the last piece of the prefix's encoding: a piece may follow ano
 by characters gives just these two pieces, and exactly one last piece of each prefix passes, so the walk gives the same
 ids as the merges do. Pieces never hold a space after another character, so words can be encoded one by one.
 
-The vocabulary is read from a model file, whose path is a parameter, on the driver and shipped as a table of bounded
-size. Characters outside it fall back to bytes. Null and empty texts have no tokens. Decoding gives the text back,
-except that U+2581, the mark of a space, comes back as a space. Texts of any length are encoded whole.
+The vocabulary is read from a model file on the driver and shipped as a table of bounded size. Its path is a parameter;
+where none is given, it is the session's ``spark.cartulary.pieceModel``, else that of the public vocabularies here.
+
+Characters outside the vocabulary fall back to bytes. Null and empty texts have no tokens. Decoding gives the text back,
+except that U+2581, the mark of a space, comes back as a space. Texts of any length are encoded whole. Of equal scores
+the leftmost merge, or the shorter last piece, wins. Repeated rows get equal tokens; an empty table gives no rows. Other
+columns are kept; those named as a new one are replaced.
 """
 
 from __future__ import annotations
 
+import array
+import itertools
+import os
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cartulary.llm.rows import append_columns
+from cartulary.llm.rows import append_columns, kept
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words kept by a worker with their ids; longer words than LONG are not kept.
-CACHED, LONG = 600_000, 64
+#: Words met lately that a worker keeps with their ids, besides as many met before; words longer than LONG aren't kept.
+CACHED, LONG = 250_000, 64
+NEVER = float("inf")
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -45,16 +53,26 @@ class Vocabulary:
 
     def __post_init__(self):
         self.ids = {self.pieces[i]: i for i in sorted(self.ordinary)}
+        self.ranks = {piece: -self.scores[i] for piece, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {b: i for i, b in self.byte_of.items()}
-        self.reach: dict[str, int] = {}  # size of the longest piece by its last two characters
+        ends: dict[str, set[int]] = {}  # sizes of the pieces of three characters or more by their last three
         for piece in self.ids:
-            if len(piece) > 1:
-                self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 0))
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.ends = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in ends.items()}
         self.key = hash((self.is_bpe, *self.pieces, *self.scores))
         self.least = min((self.scores[i] for i in self.ordinary), default=0.0)
 
 
+def model_path(spark: SparkSession, path: str | None = None) -> str:
+    """The model to read: the one given, the session's, or the default; an error if the file isn't there."""
+    path = path or spark.conf.get("spark.cartulary.pieceModel", MODEL)
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no piece model at {path}: set spark.cartulary.pieceModel")
+    return path
+
+
 def load(path: str = MODEL) -> Vocabulary:
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -71,13 +89,16 @@ def load(path: str = MODEL) -> Vocabulary:
 
 def merged(vocabulary: Vocabulary, text: str) -> list[str]:
     """Merges of adjacent symbols, best score first and leftmost among equals: for short strings."""
-    symbols = list(text)
-    while len(symbols) > 1:
-        found = [(-vocabulary.scores[i], k) for k, pair in enumerate(zip(symbols, symbols[1:])) if (i := vocabulary.ids.get("".join(pair))) is not None]
-        if not found:
-            break
-        k = min(found)[1]
+    rank, symbols = vocabulary.ranks.get, list(text)
+    ranks = [rank(a + b, NEVER) for a, b in zip(text, text[1:])]
+    while ranks and (best := min(ranks)) < NEVER:
+        k = ranks.index(best)
         symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        del ranks[k]
+        if k:
+            ranks[k - 1] = rank(symbols[k - 1] + symbols[k], NEVER)
+        if k < len(ranks):
+            ranks[k] = rank(symbols[k] + symbols[k + 1], NEVER)
     return symbols
 
 
@@ -95,18 +116,28 @@ class PrefixViterbi:
 
     def _follows(self, left: str, right: str) -> bool:
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > CACHED:
+            if len(self.pairs) > 2 * CACHED:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._stands(right) and merged(self.v, left + right) == [left, right]
         return known
 
-    def _bpe_piece(self, word: str, i: int, last: list[str]) -> str:
-        """Last piece of the encoding of word[:i]; if no longer one passes, it is the last character."""
-        for size in range(min(i, self.v.reach.get(word[i - 2 : i], 0)) if i > 1 else 0, 1, -1):
-            piece = word[i - size : i]
-            if piece in self.v.ids and (self._stands(piece) if size == i else self._follows(last[i - size], piece)):
-                return piece
-        return word[i - 1]
+    def _bpe_pieces(self, word: str, shared: int, last: list[str]) -> None:
+        """Adds the last piece of the encoding of each longer prefix; if no longer one passes, it is the last character."""
+        ids, ends, pairs, add = self.v.ids, self.v.ends, self.pairs, last.append
+        for i in range(shared + 1, len(word) + 1):
+            for size in ends.get(word[i - 3 : i], ()) if i > 2 else ():
+                if size <= i and (piece := word[i - size : i]) in ids:
+                    if size == i:
+                        passes = self._stands(piece)
+                    elif (passes := pairs.get((last[i - size], piece))) is None:
+                        passes = self._follows(last[i - size], piece)
+                    if passes:
+                        break
+            else:
+                piece = word[i - 2 : i] if i > 1 else ""
+                if piece not in ids or not (self._stands(piece) if i == 2 else self._follows(last[i - 2], piece)):
+                    piece = word[i - 1]
+            add(piece)
 
     def _unigram_piece(self, word: str, i: int, last: list[str]) -> str:
         """Last piece of the best encoding of word[:i]; an unknown character costs 10 more than any piece."""
@@ -124,7 +155,6 @@ class PrefixViterbi:
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each of the words, which must be sorted."""
-        step = self._bpe_piece if self.v.is_bpe else self._unigram_piece
         last, before, out, ids = [""], "", [], self.v.ids
         self.scores = [0.0]
         for word in words:
@@ -133,8 +163,11 @@ class PrefixViterbi:
                 shared += 1
             del last[shared + 1 :]
             del self.scores[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                last.append(step(word, i, last))
+            if self.v.is_bpe:
+                self._bpe_pieces(word, shared, last)
+            else:
+                for i in range(shared + 1, len(word) + 1):
+                    last.append(self._unigram_piece(word, i, last))
             pieces, i = [], len(word)
             while i:
                 pieces.append(last[i])
@@ -165,36 +198,35 @@ def marked_words(text: str) -> list[str]:
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.search, self.v = PrefixViterbi(vocabulary), vocabulary
-        self.clear()
+        self.recent, self.older = {}, {}  # words and their ids, as bytes: those met lately, and those met before
         said = [bytes([vocabulary.byte_of[i]]) if i in vocabulary.byte_of else p.replace(MARK, " ").encode() if i in vocabulary.ordinary else b"" for i, p in enumerate(vocabulary.pieces)]
         said[vocabulary.unknown] = " ⁇ ".encode()
         self.sizes = np.array([len(x) for x in said])
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.bytes = np.frombuffer(b"".join(said), np.uint8)
 
-    def clear(self) -> None:
-        self.rows, self.ids, self.at = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
         words = [marked_words(x) for x in texts]
-        distinct = {w for some in words for w in some}
-        if len(self.at) + len(distinct) > CACHED or len(self.ids) > 16 * CACHED:
-            self.clear()
-        new = sorted(distinct - self.rows.keys())
-        found = self.search.segment(new)
-        self.rows.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
-        self.ids = np.concatenate([self.ids, np.array([k for ids in found for k in ids], np.int32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(ids) for ids in found], dtype=np.int64)]) if new else self.at
-        row = np.fromiter((self.rows[w] for some in words for w in some), np.int64)
-        sizes = self.at[row + 1] - self.at[row]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
+        every = list(itertools.chain.from_iterable(words))
+        distinct, new = dict.fromkeys(every), []
+        for w in distinct:
+            if (known := self.recent.get(w)) is None and (known := self.older.get(w)) is not None:
+                self.recent[w] = known
+            if known is None:
+                new.append(w)
+            distinct[w] = known
+        new.sort()
+        for w, ids in zip(new, self.search.segment(new)):
+            distinct[w] = known = array.array("i", ids).tobytes()
+            if len(w) <= LONG:
+                self.recent[w] = known
+        if len(self.recent) > CACHED:
+            self.recent, self.older = {}, self.recent
+        found = list(map(distinct.__getitem__, every))
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)))
         of_text = ends[np.concatenate(([0], np.cumsum([len(some) for some in words], dtype=np.int64)))]
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[row] - ends[:-1], sizes)]
-        for w in new:
-            if len(w) > LONG:
-                del self.rows[w]
-        return ids, of_text
+        return np.frombuffer(b"".join(found), np.int32), of_text
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of consecutive ranges of ids."""
@@ -205,15 +237,9 @@ class Codec:
         return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cut, cut[1:])]
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(vocabulary: Vocabulary) -> Codec:
     """The codec of this worker, which keeps its words from one task to the next."""
-    if vocabulary.key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[vocabulary.key] = Codec(vocabulary)
-    return _CODECS[vocabulary.key]
+    return kept(("codec", vocabulary.key), lambda: Codec(vocabulary))
 
 
 FIELDS = [
@@ -223,9 +249,9 @@ FIELDS = [
 ]
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """The rows of ``docs`` with ``n_tokens``, ``token_ids`` and whether decoding them gives the text (null: empty)."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(load(model_path(docs.sparkSession, model)))
 
     def make():
         codec = _codec(shared.value)
@@ -241,9 +267,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
     return append_columns(docs, text, FIELDS, make)
 
 
-def decode(rows: DataFrame, ids: str = "token_ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
+def decode(rows: DataFrame, ids: str = "token_ids", into: str = "decoded", model: str | None = None) -> DataFrame:
     """The rows with the text of their ids; null ids give null, ids outside the vocabulary are an error."""
-    shared = rows.sparkSession.sparkContext.broadcast(load(model))
+    shared = rows.sparkSession.sparkContext.broadcast(load(model_path(rows.sparkSession, model)))
     kept = rows.drop(into)
     schema = T.StructType([*kept.schema, T.StructField(into, T.StringType())])
 
