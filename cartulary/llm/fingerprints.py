@@ -11,9 +11,14 @@ long one's spans of the short one's size are taken for the comparison; they are
 
 Each text is also compared with the next document's in ascending order of ids (after the last, the first; rows with one
 id in order of their texts) and with its own edited text, whose last quarter is replaced by the next's beginning. The
-order is made by dealing ranges of ids; the first document of a range is sent to the range before it too, so no task
-holds more than a range and a row. A null text is empty. A row with a null id has no next: its text is not edited and
-``near_next`` is 0.
+order is made by dealing ranges of ids, one for 2,000 rows up to 100,000 ranges, larger ones beyond; the first document
+of a range is sent to the range before it too, so no task holds more than a range and a row, which it reads slice by
+slice. All rows of one id are in one range.
+
+A null text is empty. A row with a null id has no next: its text is not edited and ``near_next`` is 0. The only row of a
+table is its own next. Repeated rows have equal fingerprints. Long texts are hashed whole. Ties: a span's further copies
+are told apart by their number only, so their order doesn't matter. Only the columns for id and text are read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ KEPT = 64
 #: (size of the spans, sizes of the texts from and below which they are used): neighbours overlap, so that a text can be
 #: compared with one of nearly its size.
 SCALES = ((16, 64, 1 << 62), (4, 16, 128), (1, 1, 32))
-ROWS_A_RANGE, MOST_RANGES = 2000, 10_000
+ROWS_A_RANGE, MOST_RANGES = 2000, 100_000
 _TABLES: dict[int, np.ndarray] = {}
 
 
