@@ -1,7 +1,10 @@
 """A corpus pipeline: quality, near duplicates, secrets, mixing and encoding, each by an operator of ``cartulary.llm``.
 
 Each stage takes all that the one before it kept, as written and read again, and returns the columns of documents; the
-last returns tokens. Texts that are null or empty are rows as all others; an empty table stays empty.
+last returns tokens. Texts that are null or empty are rows as all others, and so are nulls in any other column and texts
+of any length; an empty table stays empty. Other columns of the first table are dropped, whatever their names. Of
+near duplicates the smallest id stays, of equal rows one; the classifier judges repeated rows alike; ties in the order of
+the mix are broken by hashes. A document without words is not in the mix, as it takes none of it.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import minhash, mixing, piece_codec, quality, secret_scan
-from cartulary.llm.graph import stored
+from cartulary.sources.lake import discard, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,9 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What each stage kept is stored; a stage's table is deleted once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
+    for k, (_, stage) in enumerate(STAGES):
+        kept = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return kept
+        kept, before = stored(kept), docs
+        if k:
+            discard(before)
+        docs = kept
     return docs
