@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from cartulary.functions import calendar, geo, text
 from cartulary.functions.numbers import min_max
 from cartulary.operators import allocation, marts, quality, relational, search, territory
 from cartulary.plans import jobs, medallion
-from cartulary.sources import lake
+from cartulary.sources import lake, stores
 from cartulary.streaming import events as streams
 
 QUERIES: dict = {}
@@ -650,6 +651,58 @@ def latest_versions(spark, sf_dir):
     return lake.latest_versions(spark, catalog).select("dataset_name", "dataset_version")
 
 
+@register("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def serving_table(spark, sf_dir):
+    """A mart as a table: bucketed and sorted by its key, analysed, and read back by name."""
+    name = f"serving_{uuid.uuid4().hex[:12]}"
+    lake.serve(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), name, "c_custkey", path=lake.scratch(spark, "serving"))
+    return spark.table(name)
+
+
+@register("SELECT * FROM (VALUES ('view_nation'), ('view_region')) t(name)")
+def table_names(spark, sf_dir):
+    """The catalogue's tables, of which those that were registered here are asked for."""
+    lake.register_views(spark, {f"view_{n}": f"{sf_dir}/{n}.parquet" for n in ("region", "nation", "lost")})
+    return spark.sql("SHOW TABLES LIKE 'view_*'").where("isTemporary").select(F.col("tableName").alias("name"))
+
+
+@register("SELECT r_name AS nome, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def manifest_roundtrip(spark, sf_dir):
+    """A manifest written as JSON and read back."""
+    rows = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").count()
+    path = lake.scratch(spark, "manifest") + "/_manifest.json"
+    lake.write_json(spark, path, {"parts": {r.r_name: r["count"] for r in rows.collect()}})
+    return spark.createDataFrame(list(lake.read_json(spark, path)["parts"].items()), "nome string, n long")
+
+
+@register(f"WITH {_TOWNS} SELECT rf AS ranking_final, municipio, cluster, idx AS indice_final, pd AS \"PD_qt\", CAST(po AS BIGINT) AS pop_censo2022, CAST(NULL AS DOUBLE) AS ise_qt, CAST(NULL AS VARCHAR) AS perfil_economico FROM t")
+def published_towns(spark, sf_dir):
+    """Towns as a run publishes them: clusters from their scores and every column of the contract."""
+    source = lake.scratch(spark, "towns")
+    lake.publish(_towns(spark, sf_dir).drop("cluster").withColumns({"score_territorial_qt": (F.col("ranking_final") - 1) * 13 % 100, "VS_qt": (F.col("ranking_final") - 1) * 29 % 100}), source)
+    done = jobs.publish_towns(spark, source, lake.scratch(spark, "out"), "v1")
+    rows = spark.read.parquet(done["path"])
+    return rows.select("ranking_final", "municipio", "cluster", "indice_final", F.col("PD_qt").cast("double").alias("PD_qt"), F.col("pop_censo2022").cast("long").alias("pop_censo2022"), "ise_qt", "perfil_economico")
+
+
+@register(f"WITH {_TOWNS} SELECT rf AS ranking_final, substr(sha256('sal:' || municipio), 1, 16) AS municipio, cluster, idx AS indice_final FROM t")
+def export_masked(spark, sf_dir):
+    """A dataset exported with fewer columns and masked names, as one file in a store."""
+    gold, store = lake.scratch(spark, "gold"), lake.scratch(spark, "store")
+    lake.publish(_towns(spark, sf_dir).withColumn("segredo", F.lit("x")), f"{gold}/towns")
+    done = jobs.export(spark, f"{gold}/towns", f"{lake.scratch(spark, 'export')}/towns", "sal", anonymize=True, gold=[gold], store=store)
+    return spark.read.parquet(done["artifact"]).select("ranking_final", "municipio", "cluster", "indice_final")
+
+
+@register("SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS actor, 'list' AS action FROM nation ORDER BY 1 DESC LIMIT 10")
+def audit_trail(spark, sf_dir):
+    """The last ten entries of an audit trail."""
+    store = stores.JobStore(":memory:")
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").toLocalIterator():
+        store.log(r.n_name, "list", {"key": r.n_nationkey})
+    return spark.createDataFrame([row[:3] for row in store.last(10)], "id long, actor string, action string")
+
+
 # --- reconciled tables ----------------------------------------------------------------------------------------------
 
 
@@ -726,6 +779,41 @@ def trend_from_sections(spark, sf_dir):
     return out.withColumns({c: F.round(c, 5) for c in ("votos_validos_medio_3ciclos", "votos_validos_std_3ciclos")})
 
 
+@register(
+    "SELECT nivel, CAST(count(*) AS BIGINT) AS n, CAST(count(uf) AS BIGINT) AS com_uf, '2020-01-01' AS vigencia_inicio, '2024-12-31' AS vigencia_fim FROM (SELECT 'mun' AS nivel, n_nationkey AS a, -1 AS z, -1 AS s, 'SP' AS uf FROM nation"
+    " UNION SELECT 'zona', c_nationkey, c_custkey % 7, -1, 'SP' FROM customer WHERE c_custkey % 6 <> 0 UNION SELECT 'secao', c_nationkey, c_custkey % 7, c_custkey % 40, 'SP' FROM customer WHERE c_custkey % 6 <> 0) GROUP BY 1"
+)
+def territory_rows(spark, sf_dir):
+    """Municipalities, zones and sections of the territory dimension, with their validity."""
+    dim, aliases = _reconciled(spark, sf_dir)
+    c = F.col("c_custkey")
+    sections = table(spark, sf_dir, "customer").select(F.concat(F.lit("velha "), "c_nationkey").alias("municipio"), F.when(c % 6 != 0, (c % 7).cast("string")).alias("zona"), (c % 40).alias("secao"), F.lit("2024").alias("ano"))
+    rows = medallion.territory_rows(dim, medallion.section_fact(sections, aliases, medallion.Inputs({})), (2020, 2024))
+    return rows.groupBy("nivel", "vigencia_inicio", "vigencia_fim").agg(F.count(F.lit(1)).alias("n"), F.count("uf").alias("com_uf"))
+
+
+@register("SELECT c_custkey, 'low_score' AS reason, 0.0::DOUBLE AS join_confidence FROM customer WHERE c_custkey % 10 = 9")
+def review_queue(spark, sf_dir):
+    """The rows that no tier matches, for people to decide."""
+    dim, aliases = _reconciled(spark, sf_dir)
+    c = F.col("c_custkey")
+    name = F.when(c % 10 == 9, "lugar nenhum").otherwise(F.concat(F.lit("nation_"), "c_nationkey"))
+    rows = territory.match(table(spark, sf_dir, "customer").select("c_custkey", name.alias("norm")), dim, aliases, marts.ID, "codigo_tse", "municipio_norm", "norm", shown=False)
+    return territory.review_queue(rows).select("c_custkey", "reason", "join_confidence")
+
+
+@register("SELECT count(*) AS n, avg(CASE WHEN c_custkey % 10 <> 9 THEN 1.0 ELSE 0.0 END) AS join_rate, 'ok' AS status FROM customer")
+def crosswalk_rates(spark, sf_dir):
+    """A crosswalk of a table of results to the municipalities, with the rate of matches."""
+    base, mapping = lake.scratch(spark, "base"), lake.scratch(spark, "mapping") + ".csv"
+    c = F.col("c_custkey")
+    name = F.when(c % 10 == 9, "lugar nenhum").otherwise(F.concat(F.lit("Nátion_"), "c_nationkey"))
+    lake.publish(table(spark, sf_dir, "customer").select(name.alias("municipio"), c.alias("ranking_final")), base)
+    _mapping(spark, sf_dir).write.option("header", True).csv(mapping)
+    done = jobs.crosswalk(spark, medallion.Inputs({"base_eleitoral": base, "mapping_tse_ibge": mapping}, year=2024), lake.scratch(spark, "crosswalk"), "v1")
+    return spark.createDataFrame([(done["rows"], done["join_rate"], done["status"])], "n long, join_rate double, status string")
+
+
 @register("SELECT n_nationkey, CAST(NULL AS VARCHAR) AS uf, CAST(NULL AS DOUBLE) AS nota, n_name FROM nation")
 def schema_backfill(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
