@@ -186,13 +186,13 @@ class PrefixViterbi:
         return [self.v.byte_ids[b] for b in piece.encode()]
 
 
-def marked_words(text: str) -> list[str]:
-    """The marked words of a text; joined, they are the text with marks for spaces and one more at its start."""
+def words_of(text: str | None) -> list[str]:
+    """The words of a text: each with the mark of a space before it, joined, they are the text with marks for spaces."""
     if not text:
         return []
     if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-        return _CHUNK.findall(MARK + text.replace(" ", MARK))
-    return [MARK + w for w in text.split(" ")]
+        return [w[1:] for w in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
 
 class Codec:
@@ -207,7 +207,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
-        words = [marked_words(x) for x in texts]
+        words = [words_of(x) for x in texts]
         every = list(itertools.chain.from_iterable(words))
         distinct, new = dict.fromkeys(every), []
         for w in distinct:
@@ -217,7 +217,7 @@ class Codec:
                 new.append(w)
             distinct[w] = known
         new.sort()
-        for w, ids in zip(new, self.search.segment(new)):
+        for w, ids in zip(new, self.search.segment([MARK + w for w in new])):
             distinct[w] = known = array.array("i", ids).tobytes()
             if len(w) <= LONG:
                 self.recent[w] = known
