@@ -45,10 +45,11 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("root")
     one.add_argument("--version", default="v1")
     one = commands.add_parser("reindex")
-    one.add_argument("towns")
+    one.add_argument("towns", help="a dataset, or with --latest a folder of datasets")
     one.add_argument("index")
-    one.add_argument("embedder", type=_named, help="module:function")
+    one.add_argument("--embedder", type=_named, default=jobs.hashed_words, help="module:function")
     one.add_argument("--collection", default=jobs.COLLECTIONS[0])
+    one.add_argument("--latest", nargs="+", metavar="PATTERN", help="take the last name in the folder that matches")
     one.add_argument("--force", action="store_true")
     one = commands.add_parser("export")
     one.add_argument("dataset")
@@ -92,7 +93,10 @@ def run(given: argparse.Namespace):
     if given.command == "towns":
         return jobs.publish_towns(spark, given.source, given.root, given.version)
     if given.command == "reindex":
-        return jobs.reindex(spark, given.towns, given.index, given.embedder, given.collection, given.force)
+        towns = lake.latest_file(spark, given.towns, given.latest) if given.latest else given.towns
+        if towns is None:
+            raise FileNotFoundError(f"nothing like {given.latest} in {given.towns}")
+        return jobs.reindex(spark, towns, given.index, given.embedder, given.collection, given.force)
     if given.command == "export":
         return jobs.export(spark, given.dataset, given.target, given.salt, not given.whole, given.anonymize, given.gold, given.store)
     if given.command == "prioritize":

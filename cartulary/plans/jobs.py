@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +173,19 @@ def reindex(spark: SparkSession, towns: str, index: str, embedder: Callable[[],
     return state | {"status": "indexed"}
 
 
+def hashed_words(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder that needs no model: counts of words by a hash, scaled to length 1. Texts that share words are near."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), size))
+        for row, said in zip(out, texts):
+            for word in said.lower().split():
+                row[zlib.crc32(word.encode()) % size] += 1
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
+
+    return embed
+
+
 # Names of the collections in order, and the rows that one needs.
 COLLECTIONS = ["municipios_v2", "municipios"]
 LEAST_INDEXED = 600

@@ -93,16 +93,18 @@ def serve(df: DataFrame, table: str, key: str, buckets: int = 16, path: str | No
 
 
 def content_hash(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(fonte, hash) of a source from the hashes of its files, whatever their number.
+    """(fonte, hash) of a source from the hashes of its files: of the files in each folder first, then of the folders.
 
     A file larger than ``HASHED_BYTES``, which no row can hold, is told by its name, size and time instead of its bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    small = files.where(F.col("length") <= HASHED_BYTES).select(F.sha2("content", 256).alias("h"), name.alias("n"))
+    name, folder = F.element_at(F.split("path", "/"), -1).alias("n"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    small = files.where(F.col("length") <= HASHED_BYTES).select(F.sha2("content", 256).alias("h"), name, folder)
     stamp = F.concat_ws(":", F.col("length").cast("string"), F.unix_millis("modificationTime").cast("string"))
-    each = small.union(files.where(F.col("length") > HASHED_BYTES).select(stamp.alias("h"), name.alias("n")))
-    return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "n", "h"))), ","), 256).alias("hash")).select(F.lit(source).alias("fonte"), "hash")
+    each = small.union(files.where(F.col("length") > HASHED_BYTES).select(stamp.alias("h"), name, folder))
+    digest = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256)
+    folders = each.groupBy("folder").agg(digest(F.concat_ws(":", "n", "h")).alias("h"))
+    return folders.agg(digest(F.col("h")).alias("hash")).select(F.lit(source).alias("fonte"), "hash")
 
 
 def copy_raw(spark: SparkSession, source: str, target: str) -> dict:

@@ -187,5 +187,10 @@ def test_command_line(spark, tmp_path, capsys):
     stores.JobStore(str(tmp_path / "j.sqlite3"))
     cli.main(["backup", str(tmp_path / "j.sqlite3"), str(tmp_path / "copies")])
     assert "j_" in json.loads(capsys.readouterr().out)["backup"]
+    for year in ("2023", "2024"):
+        spark.createDataFrame([(1, f"T{year}", "Diamante", 90.0)], "ranking_final int, municipio string, cluster string, indice_final double").write.parquet(str(tmp_path / f"towns_{year}.parquet"))
+    cli.main(["reindex", str(tmp_path), str(tmp_path / "index"), "--latest", "towns_*.parquet"])
+    assert json.loads(capsys.readouterr().out)["indexed_count"] == 1
+    assert spark.read.parquet(str(tmp_path / "index" / "municipios_v2")).first().municipio == "T2024"
     cli.main(["metrics", str(tmp_path / "events")])
     assert json.loads(capsys.readouterr().out)["queries_total"] == 0
