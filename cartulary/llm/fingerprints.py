@@ -10,10 +10,10 @@ copies of a span in a text count as spans of their own. Where a short and a long
 long one's spans of the short one's size are taken for the comparison; they are not part of its fingerprint.
 
 Each text is also compared with the next document's in ascending order of ids (after the last, the first; rows with one
-id in order of their texts) and with its own edited text, whose last quarter is replaced by the next's beginning. The
+id in the order of 64-bit hashes of their texts) and with its own edited text, whose last quarter is replaced by the next's beginning. The
 order is made by dealing ranges of ids, one for 2,000 rows up to 100,000 ranges, larger ones beyond; the first document
 of a range is sent to the range before it too, so no task holds more than a range and a row, which it reads slice by
-slice. All rows of one id are in one range.
+slice. An id that fills several ranges is cut by the hashes of its texts; only its equal texts are always together.
 
 A null text is empty. A row with a null id has no next: its text is not edited and ``near_next`` is 0. The only row of a
 table is its own next. Repeated rows have equal fingerprints. Long texts are hashed whole. Ties: a span's further copies
@@ -207,29 +207,79 @@ def _linked(rows: list[tuple], n: int):
         yield _work(*map(list, zip(*some)))
 
 
+class Ranges:
+    """Ranges of documents in the order of their ids, and of the hashes of their texts within one id.
+
+    ``cuts`` are the ids at which ranges begin. An id that is there k times fills about k ranges: it is cut by hashes into
+    k, and the ids between it and the next cut have one more. Such ranges may be empty; ``settle`` is told which aren't.
+    """
+
+    def __init__(self, cuts: list[int]):
+        self.ids, self.parts = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.hot = self.parts > 1
+        each = self.parts + self.hot
+        self.offset = np.cumsum(each) - each
+        self.used = self.offset[~self.hot]
+        self.first: dict[int, tuple[int, int]] = {}
+
+    def settle(self, first: dict[int, tuple[int, int]]) -> None:
+        """Takes the first (id, hash) of each range around a hot id that isn't empty."""
+        self.first = first
+        self.used = np.sort(np.concatenate((self.used, np.array(list(first), np.int64))))
+
+    def __len__(self) -> int:
+        return len(self.used)
+
+    def place(self, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(range before empty ones are left out, whether it is around a hot id)."""
+        k = np.maximum(np.searchsorted(self.ids, ids, "right") - 1, 0)
+        parts = self.parts[k]
+        share = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(11)  # in the order of the hashes, 53 bits
+        sub = np.minimum((share * (parts / 2.0**53)).astype(np.int64), parts - 1)
+        return self.offset[k] + np.where(self.hot[k], np.where(self.ids[k] == ids, sub, parts), 0), self.hot[k]
+
+    def deal(self, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(range, whether the document is the range's first)."""
+        where, hot = self.place(ids, hashes)
+        head = ~hot & (ids == self.ids[np.maximum(np.searchsorted(self.ids, ids, "right") - 1, 0)])
+        for k in np.flatnonzero(hot).tolist():
+            head[k] = self.first.get(int(where[k])) == (ids[k], hashes[k])
+        return np.searchsorted(self.used, where), head
+
+
 def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row of ``SCHEMA`` for each row of ``docs``; ``prefix_*`` are the sizes of the longest common beginnings."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.where("id is not null").select("id")
-    ranges = int(min(MOST_RANGES, max(1, rows.count() // ROWS_A_RANGE)))
-    least, cuts = ids.agg(F.min("id"), F.percentile_approx("id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * MOST_RANGES)).first()
-    bounds = np.array(sorted({least, *(cuts or [])}) if least is not None else [0], np.int64)
+    count = int(min(MOST_RANGES, max(1, rows.count() // ROWS_A_RANGE)))
+    least, cuts = ids.agg(F.min("id"), F.percentile_approx("id", [k / count for k in range(1, count)] or [0.5], 10 * MOST_RANGES)).first()
+    ranges = Ranges([0] if least is None else [least, *(cuts if count > 1 else [])])
+
+    @F.pandas_udf("struct<range: long, other: boolean>")
+    def placed(column, hashes):
+        import pandas as pd
+
+        return pd.DataFrame(dict(zip(("range", "other"), ranges.place(column.to_numpy(np.int64), hashes.to_numpy(np.int64)))))
 
-    @F.pandas_udf("struct<range: long, head: boolean>")
-    def place(column):
+    @F.pandas_udf("struct<range: long, other: boolean>")
+    def dealt(column, hashes):
         import pandas as pd
 
-        values = column.to_numpy(np.int64)
-        k = np.searchsorted(bounds, values, "right") - 1
-        return pd.DataFrame({"range": k, "head": bounds[k] == values})
+        return pd.DataFrame(dict(zip(("range", "other"), ranges.deal(column.to_numpy(np.int64), hashes.to_numpy(np.int64)))))
 
-    n = len(bounds)
-    rows = rows.withColumn("p", place(F.coalesce("id", F.lit(int(bounds[0])))))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    if ranges.hot.any():
+        around = rows.where("id is not null").select("id", "hash", placed("id", "hash").alias("p")).where("p.other")
+        firsts = around.groupBy("p.range").agg(F.min(F.struct("id", "hash")).alias("x")).collect()
+        ranges.settle({r.range: (r.x.id, r.x.hash) for r in firsts})
+    n = max(1, len(ranges))
+    rows = rows.withColumn("p", dealt(F.coalesce("id", F.lit(int(ranges.ids[0]))), "hash"))
     chained = F.array(F.struct(F.col("p.range").alias("range"), F.lit(0).alias("kind")))
     head = F.array(F.struct(F.pmod(F.col("p.range") - 1, F.lit(n)).alias("range"), F.lit(1).alias("kind")))
-    apart = F.array(F.struct(F.pmod(F.xxhash64("text"), F.lit(n)).alias("range"), F.lit(2).alias("kind")))
-    rows = rows.select("id", "text", F.explode(F.when(F.col("id").isNull(), apart).when(F.col("p.head"), F.concat(chained, head)).otherwise(chained)).alias("t"))
-    rows = rows.select("t.range", "t.kind", "id", "text").repartition("range").sortWithinPartitions("range", "kind", "id", "text")
+    apart = F.array(F.struct(F.pmod(F.col("hash"), F.lit(n)).alias("range"), F.lit(2).alias("kind")))
+    kinds = F.when(F.col("id").isNull(), apart).when(F.col("p.other"), F.concat(chained, head)).otherwise(chained)
+    rows = rows.select("id", "text", "hash", F.explode(kinds).alias("t")).select("t.range", "t.kind", "id", "text", "hash")
+    rows = rows.repartition("range").sortWithinPartitions("range", "kind", "id", "hash", "text").drop("hash")
     # in a range the rows of kind 0 come first, then those of kind 1, the first of which follows the last of kind 0
     return rows.mapInArrow(_stream, SCHEMA)
 

@@ -276,6 +276,27 @@ def test_op3_ranges_nulls_and_one_row(spark, hard, monkeypatch):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+@pytest.mark.parametrize("ids", ["if(id % 3 > 0, 50, id)", "50", "if(id < 150, 7, if(id < 400, 8, 900))", "id % 4"])
+def test_op3_cuts_ids_that_fill_several_ranges(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 20)
+    rows = spark.range(600).selectExpr(f"cast({ids} as long) as doc_id", "concat('text number ', id % 500, ' of some') as text").repartition(4)
+    ordered = [tuple(r) for r in rows.selectExpr("doc_id", "xxhash64(text) as h", "text").orderBy("doc_id", "h", "text").collect()]
+    want = []
+    for k, (i, _, text) in enumerate(ordered):
+        after, q = ordered[(k + 1) % len(ordered)][2], len(text) // 4
+        want.append((i, hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()))
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in collected(fingerprints.op3(rows))) == sorted(want)
+
+
+def test_op3_ranges_split_a_hot_id():
+    ranges = fingerprints.Ranges([0, 5, 5, 5, 5, 9])
+    hashes = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 8000)
+    where, hot = ranges.place(np.full(8000, 5), hashes)
+    assert hot.all() and len(set(where.tolist())) == 4 and np.bincount(where).max() < 2500
+    order = np.argsort(hashes)
+    assert (np.diff(where[order]) >= 0).all() and ranges.place(np.array([6]), hashes[:1])[0][0] == where.max() + 1
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
