@@ -26,6 +26,11 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _fs(spark, path)
+    return fs.exists(hadoop) and fs.getFileStatus(hadoop).isFile()
+
+
 def stored(df: DataFrame, name: str = "cartulary") -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from the loss of executors."""
     path = scratch(df.sparkSession, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.sources.lake import scratch
+from cartulary.sources.lake import is_file, scratch
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -17,10 +17,9 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def hourly_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Reads what is at the path as a stream, upserts each batch's totals in a table, and returns the last of each hour."""
     # a table may be one file, read from its folder by name, or a folder of files
-    table = spark.read.parquet(path)
     folder, name = path.rstrip("/").rsplit("/", 1)
-    one = any(f.rstrip("/").rsplit("/", 1)[-1] == name for f in table.limit(1).inputFiles())
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", name if one else "*.parquet").parquet(folder if one else path)
+    one = is_file(spark, path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name if one else "*.parquet").parquet(folder if one else path)
     out, state = scratch(spark, "rollup"), scratch(spark, "rollup-state")
 
     def write(batch: DataFrame, number: int) -> None:
