@@ -178,7 +178,7 @@ def listed(rows: DataFrame) -> DataFrame:
     return rows.join(lists.select("key", "size"), "key")
 
 
-def divided(posted: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def divided(posted: DataFrame, percent: int, tasks: int) -> tuple[DataFrame, list[DataFrame]]:
     """(rows of all lists, dealt to tiles; the stored tables that they are made from).
 
     In a list longer than a tile, the largest component is set against the other rows only, in as many tiles as these
@@ -186,11 +186,11 @@ def divided(posted: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
     themselves and with those of the band below (``above`` is true), as sets farther apart can't be similar.
     """
     columns = ["key", "c", "id", "n", "component"]
-    rows = stored(listed(posted.select(*columns)))
+    rows = stored(listed(posted.select(*columns)).coalesce(tasks))
     long = rows.where(F.col("size") > tiles.TILE).drop("size")
     owners = long.groupBy("key", "component").agg(_size().alias("own"))
     owners = owners.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("largest"), F.max("own").alias("ours"), (F.sum("own") - F.max("own")).alias("theirs"))
-    long = stored(long.join(owners, "key").withColumn("first", F.col("component") == F.col("largest")).drop("largest"))
+    long = stored(long.join(owners, "key").withColumn("first", F.col("component") == F.col("largest")).drop("largest").coalesce(tasks))
     between = tiles.dealt_between(long, "key", "first", ("ours", "theirs"), "id").withColumn("above", F.lit(False))
 
     rest = listed(long.where("not first").select(F.xxhash64("key", F.lit("rest")).alias("key"), *columns[1:]))
@@ -289,7 +289,7 @@ def links(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tupl
     grouped = components(found, "a", "b")
 
     owned = classes.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows, used = divided(postings(owned, "id", "n", "component"), percent)
+    rows, used = divided(postings(owned, "id", "n", "component"), percent, tasks)
     rows = rows.join(classes.select("id", "signature"), "id")
     dealt = tiles.gathered(rows.select("key", "i", "j", "side", "id", "component", "n", "above", "signature", "c"), "key")
     dealt = stored(dealt.mapInArrow(_candidates(percent), dealt.schema).coalesce(8 * tasks))

@@ -142,7 +142,7 @@ def _mix(docs: DataFrame, doc_id: str, text: str, source: str, depth: int, block
     rows = rows.select("*", words(text).alias("size"), key.alias("key"), F.pmod(draw(0), F.lit(n_buckets)).alias("bucket"), draw(1).alias("draw"))
 
     # read by the sources, the stretches and the buckets: stored, so that the texts are counted once for all of them
-    groups = stored(rows.groupBy("key", "bucket").agg(F.sum("size").alias("words")))
+    groups = stored(rows.groupBy("key", "bucket").agg(F.sum("size").alias("words")).coalesce(1 + n_buckets // BUCKETS_A_STRETCH))
     sources = groups.groupBy("key").agg(F.sum("words").alias("source_size"))
     sources = sources.select("*", (F.col("key") == "n").alias("is_null"), F.expr("substr(key, 2)").alias("name"))
     sources = targets(sources, most_repeats).withColumn("quota", F.round("target").cast("long"))

@@ -14,7 +14,7 @@ from cartulary.sources.lake import discard, stored
 
 #: Bytes and rows of text worked on at once; bound the memory of the vectorised steps whatever the batch holds.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
-DRAW = "__draw"
+DRAW, SAMPLE_FILES = "__draw", 8
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def bounded_sample(df: DataFrame, key: str, text: str, most: int, most_bytes: in
     share = (1.25 * most + 100) / max(1, count)
     while True:
         some = rows if share >= 1 else rows.where(F.col(DRAW) < int((share - 0.5) * 2**64))
-        some = stored(some.dropDuplicates([DRAW]))
+        some = stored(some.dropDuplicates([DRAW]).coalesce(SAMPLE_FILES))
         found = 0 if some.isEmpty() else some.count()
         if share >= 1 or found >= most // 2:
             break
