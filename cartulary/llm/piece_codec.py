@@ -22,6 +22,7 @@ import array
 import itertools
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -106,38 +107,65 @@ class PrefixViterbi:
     """Segments sorted words, reusing the forward states of shared prefixes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.pairs, self.alone = vocabulary, {}, {}
+        self.v, self.pairs, self.alone, self.sizes = vocabulary, {}, {}, list(map(len, vocabulary.pieces))
 
-    def _stands(self, piece: str) -> bool:
+    def _stands(self, piece: int) -> bool:
         """Whether merging the characters of a piece gives the piece."""
         if (known := self.alone.get(piece)) is None:
-            known = self.alone[piece] = merged(self.v, piece) == [piece]
+            known = self.alone[piece] = merged(self.v, self.v.pieces[piece]) == [self.v.pieces[piece]]
         return known
 
-    def _follows(self, left: str, right: str) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 2 * CACHED:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._stands(right) and merged(self.v, left + right) == [left, right]
+    def _follows(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces gives just these; a character outside the vocabulary is -1."""
+        if len(self.pairs) > 2 * CACHED:
+            self.pairs.clear()
+        both = [self.v.pieces[k] for k in (left, right)]
+        known = self.pairs[left * len(self.sizes) + right] = self._stands(right) and (left < 0 or merged(self.v, "".join(both)) == both)
         return known
 
-    def _bpe_pieces(self, word: str, shared: int, last: list[str]) -> None:
-        """Adds the last piece of the encoding of each longer prefix; if no longer one passes, it is the last character."""
-        ids, ends, pairs, add = self.v.ids, self.v.ends, self.pairs, last.append
-        for i in range(shared + 1, len(word) + 1):
-            for size in ends.get(word[i - 3 : i], ()) if i > 2 else ():
-                if size <= i and (piece := word[i - size : i]) in ids:
-                    if size == i:
-                        passes = self._stands(piece)
-                    elif (passes := pairs.get((last[i - size], piece))) is None:
-                        passes = self._follows(last[i - size], piece)
-                    if passes:
-                        break
-            else:
-                piece = word[i - 2 : i] if i > 1 else ""
-                if piece not in ids or not (self._stands(piece) if i == 2 else self._follows(last[i - 2], piece)):
-                    piece = word[i - 1]
-            add(piece)
+    def _last_piece(self, word: str, i: int, last: list[int]) -> int:
+        """Last piece of the encoding of word[:i], of two characters or fewer: the longest that passes."""
+        if i > 1 and (piece := self.v.ids.get(word[i - 2 : i])) is not None:
+            if i == 2:
+                passes = self._stands(piece)
+            elif (passes := self.pairs.get(last[i - 2] * len(self.sizes) + piece)) is None:
+                passes = self._follows(last[i - 2], piece)
+            if passes:
+                return piece
+        return self.v.ids.get(word[i - 1], -1)
+
+    def _segment_bpe(self, words: list[str]) -> Iterator[list[int]]:
+        """For each prefix the last piece of its encoding; the encoding of a word follows from the last to the first."""
+        piece_of, ends, pair, count, sizes = self.v.ids.get, self.v.ends.get, self.pairs.get, len(self.sizes), self.sizes
+        last, before = [-1], ""
+        for word in words:
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                for size in ends(word[i - 3 : i], ()) if i > 2 else ():
+                    if size <= i and (piece := piece_of(word[i - size : i])) is not None:
+                        if size == i:
+                            passes = self._stands(piece)
+                        elif (passes := pair(last[i - size] * count + piece)) is None:
+                            passes = self._follows(last[i - size], piece)
+                        if passes:
+                            last.append(piece)
+                            break
+                else:
+                    last.append(self._last_piece(word, i, last))
+            ids, i = [], len(word)
+            while i:
+                if (piece := last[i]) < 0:
+                    ids += reversed(self._ids(word[i - 1]))
+                    i -= 1
+                else:
+                    ids.append(piece)
+                    i -= sizes[piece]
+            ids.reverse()
+            yield ids
+            before = word
 
     def _unigram_piece(self, word: str, i: int, last: list[str]) -> str:
         """Last piece of the best encoding of word[:i]; an unknown character costs 10 more than any piece."""
@@ -153,9 +181,12 @@ class PrefixViterbi:
         self.scores[i:] = [best]
         return chosen
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of the words, which must be sorted."""
-        last, before, out, ids = [""], "", [], self.v.ids
+    def segment(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each of the words, which must be sorted, one after another."""
+        return self._segment_bpe(words) if self.v.is_bpe else self._segment_unigram(words)
+
+    def _segment_unigram(self, words: list[str]) -> Iterator[list[int]]:
+        last, before, ids = [""], "", self.v.ids
         self.scores = [0.0]
         for word in words:
             shared, most = 0, min(len(word), len(before))
@@ -163,20 +194,16 @@ class PrefixViterbi:
                 shared += 1
             del last[shared + 1 :]
             del self.scores[shared + 1 :]
-            if self.v.is_bpe:
-                self._bpe_pieces(word, shared, last)
-            else:
-                for i in range(shared + 1, len(word) + 1):
-                    last.append(self._unigram_piece(word, i, last))
+            for i in range(shared + 1, len(word) + 1):
+                last.append(self._unigram_piece(word, i, last))
             pieces, i = [], len(word)
             while i:
                 pieces.append(last[i])
                 i -= len(last[i])
             pieces.reverse()
             found = [ids.get(x) for x in pieces]
-            out.append([k for x in pieces for k in self._ids(x)] if None in found else found)
+            yield [k for x in pieces for k in self._ids(x)] if None in found else found
             before = word
-        return out
 
     def _ids(self, piece: str) -> list[int]:
         if (k := self.v.ids.get(piece)) is not None:
