@@ -252,7 +252,7 @@ def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.where("id is not null").select("id")
     count = int(min(MOST_RANGES, max(1, rows.count() // ROWS_A_RANGE)))
-    least, cuts = ids.agg(F.min("id"), F.percentile_approx("id", [k / count for k in range(1, count)] or [0.5], 10 * MOST_RANGES)).first()
+    least, cuts = ids.agg(F.min("id"), F.percentile_approx("id", [k / count for k in range(1, count)] or [0.5], max(10_000, 10 * count))).first()
     ranges = Ranges([0] if least is None else [least, *(cuts if count > 1 else [])])
 
     @F.pandas_udf("struct<range: long, other: boolean>")
