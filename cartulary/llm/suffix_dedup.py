@@ -163,15 +163,19 @@ def classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarr
     _, head, group = np.unique(content[order], return_index=True, return_inverse=True)
     first = np.empty(len(order), np.int64)
     first[order] = order[head][group]
-    # equal hashes are compared byte by byte; a stretch that differs from the first of its hash is a class of its own
+    # equal hashes are compared, 8 bytes at once; a stretch that differs from the first of its hash is a class of its own
+    words = np.lib.stride_tricks.sliding_window_view(data, 8).view(np.uint64)[:, 0]
     cuts = np.searchsorted(np.cumsum(size), np.arange(1, size.sum() // SPLIT + 1) * SPLIT)
     for part in np.split(np.arange(len(start)), cuts):
         part = part[first[part] != part]
-        n = size[part]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        differ = data[np.repeat(start[part], n) + step] != data[np.repeat(start[first[part]], n) + step]
-        if differ.any():
-            other = part[np.unique(np.repeat(np.arange(len(part)), n)[differ])]
+        like = size[part] == size[first[part]]
+        part, unlike = part[like], part[~like]
+        n = -(-size[part] // 8)
+        step = 8 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        step = np.minimum(step, np.repeat(size[part] - 8, n))
+        differ = words[np.repeat(start[part], n) + step] != words[np.repeat(start[first[part]], n) + step]
+        if differ.any() or len(unlike):
+            other = np.union1d(unlike, part[np.unique(np.repeat(np.arange(len(part)), n)[differ])])
             content[other], first[other] = mix(content[other] + other.astype(np.uint64) + np.uint64(1)), other
     return content, ids > ids[first]
 

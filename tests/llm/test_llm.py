@@ -206,9 +206,9 @@ def test_op2_hot_seed_has_many_small_hashes():
 
 def test_op2_equal_hashes_are_compared(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
-    data = np.frombuffer(b"aaaabbbbaaaaaaacbbbb", np.uint8)
-    content, later = suffix_dedup.classes(data, np.arange(0, 20, 4), np.full(5, 4), np.arange(5))
-    assert later.tolist() == [False, False, True, False, False] and len(set(content.tolist())) == 4
+    data = np.frombuffer(b"aaaaaaaaa" b"bbbbbbbbb" b"aaaaaaaaa" b"aaaaaaaac" b"baaaaaaaa" b"bbbbbbbbb", np.uint8)
+    content, later = suffix_dedup.classes(data, np.arange(0, 54, 9), np.full(6, 9), np.arange(6))
+    assert later.tolist() == [False, False, True, False, False, False] and len(set(content.tolist())) == 5
 
 
 def test_previous_factors():
