@@ -9,6 +9,7 @@ import math
 import os
 import shutil
 import sqlite3
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -45,7 +46,7 @@ class JobStore:
     STATES = ("queued", "running", "finished", "failed")
 
     def __init__(self, path: str):
-        self.db = sqlite3.connect(path, check_same_thread=False)
+        self.db, self.lock = sqlite3.connect(path, check_same_thread=False), threading.RLock()  # one statement at a time
         self.db.execute("CREATE TABLE IF NOT EXISTS jobs (id TEXT PRIMARY KEY, kind TEXT, payload TEXT, status TEXT, result TEXT, error TEXT, updated TEXT)")
         self.db.execute("CREATE TABLE IF NOT EXISTS audit (id INTEGER PRIMARY KEY AUTOINCREMENT, at TEXT, actor TEXT, action TEXT, detail TEXT)")
 
@@ -53,28 +54,30 @@ class JobStore:
         return datetime.now(UTC).isoformat()
 
     def create(self, job: str, kind: str, payload: dict) -> None:
-        with self.db:
+        with self.lock, self.db:
             self.db.execute("INSERT INTO jobs VALUES (?, ?, ?, 'queued', NULL, NULL, ?)", (job, kind, json.dumps(payload), self._now()))
 
     def update(self, job: str, status: str, result: dict | None = None, error: str | None = None) -> None:
         if status not in self.STATES:
             raise ValueError(status)
-        with self.db:
+        with self.lock, self.db:
             self.db.execute("UPDATE jobs SET status = ?, result = ?, error = ?, updated = ? WHERE id = ?", (status, None if result is None else json.dumps(result), error, self._now(), job))
 
     def get(self, job: str) -> dict | None:
-        row = self.db.execute("SELECT id, kind, payload, status, result, error FROM jobs WHERE id = ?", (job,)).fetchone()
+        with self.lock:
+            row = self.db.execute("SELECT id, kind, payload, status, result, error FROM jobs WHERE id = ?", (job,)).fetchone()
         return row and dict(id=row[0], kind=row[1], payload=json.loads(row[2]), status=row[3], result=row[4] and json.loads(row[4]), error=row[5])
 
     def log(self, actor: str, action: str, detail: dict) -> None:
-        with self.db:
+        with self.lock, self.db:
             self.db.execute("INSERT INTO audit (at, actor, action, detail) VALUES (?, ?, ?, ?)", (self._now(), actor, action, json.dumps(detail)))
 
     def last(self, n: int = 50) -> list[tuple]:
-        return self.db.execute("SELECT id, actor, action, detail FROM audit ORDER BY id DESC LIMIT ?", (n,)).fetchall()
+        with self.lock:
+            return self.db.execute("SELECT id, actor, action, detail FROM audit ORDER BY id DESC LIMIT ?", (n,)).fetchall()
 
     def purge(self, before: str) -> int:
-        with self.db:
+        with self.lock, self.db:
             return self.db.execute("DELETE FROM audit WHERE at < ?", (before,)).rowcount
 
 
